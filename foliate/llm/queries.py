@@ -9,6 +9,13 @@ from foliate.runtime import ensure_worker_imports, table
 SHARD_LIMIT = 2 << 20
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 REPEATS = 2.0
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +31,26 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import digest
+
+    return digest(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, i, role, CONTROL) for i, role in enumerate(("user", "assistant"))], rows.schema)
+    return read_back(format_conversations(rows.unionByName(more), tokenizer_path()), tokenizer_path())
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -38,7 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, repeats_within(REPEATS)).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filters, op8_line_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filters, op5_bpe, op6_chat_formatting, op7_fingerprints, op8_line_dedup, op10_mixing)}
 
 SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 ORACLES = {
