@@ -31,6 +31,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest
 
@@ -58,6 +64,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", F.col("vec_id") % 20 == 0)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix, repeats_within
 
@@ -65,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, repeats_within(REPEATS)).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filters, op5_bpe, op6_chat_formatting, op7_fingerprints, op8_line_dedup, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_chat_formatting, op7_fingerprints, op8_line_dedup, op9_nearest, op10_mixing)}
 
 SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 ORACLES = {
