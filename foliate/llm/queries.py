@@ -24,6 +24,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), ["doc_id"], SHARD_LIMIT)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = score(docs.withColumn("held_out", held_out("doc_id")), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
@@ -77,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, repeats_within(REPEATS)).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_chat_formatting, op7_fingerprints, op8_line_dedup, op9_nearest, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_url_filters, op4_ngram_jaccard, op5_bpe, op6_chat_formatting, op7_fingerprints, op8_line_dedup, op9_nearest, op10_mixing)}
 
 SPACE = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 ORACLES = {
