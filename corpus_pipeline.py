@@ -1,8 +1,72 @@
-"""Corpus pipeline: toxicity, line dedup, n-gram Jaccard join, mixing, BPE."""
+"""Corpus pipeline: toxicity, line dedup, n-gram Jaccard join, mixing, BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
+docs. All but the last return the columns of ``documents``. No SQL can express the learned and iterative stages, so
+``ORACLE_SQL`` is None; tests hold the run against a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from foliate.llm import bpe, line_dedup, mixing, ngram_join, toxicity
+from foliate.llm.queries import REPEATS, tokenizer_path
+from foliate.runtime import broadcast_if_small, ensure_worker_imports, materialise
+
+IDS = 1_000_000  # ids are broadcast up to this count (8 MB), else joined by shuffle
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    ensure_worker_imports(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in the first of them; documents stay, with the rest of their lines."""
+    kept = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of smallest id stays, once; documents without links stay."""
+    ensure_worker_imports(spark)
+    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+    gone = materialise(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    again = materialise(groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"))
+    left = docs.join(broadcast_if_small(gone, IDS), "doc_id", "left_anti")
+    again = broadcast_if_small(again, IDS)
+    once = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return once.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Scarce sources are repeated towards equal weights, ``REPEATS`` times at most; every document occurs."""
+    return mixing.mix(docs, mixing.repeats_within(REPEATS)).select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids (little-endian unsigned 32-bit integers) of every occurrence."""
+    ensure_worker_imports(spark)
+    return bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).drop("text")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("ngram_jaccard", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs)
+    return docs
