@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.types import StringType
 
 #: What Python's str.strip() and \\s take as white space.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+FOREIGN = re.compile(r"[^\x00-\x7f]+")
 DATE = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b"
 
 
@@ -33,15 +35,19 @@ def normalise_dates(text: Column) -> Column:
     return F.regexp_replace(text, "(?U)" + DATE, "$1/$2/$3")
 
 
+def reread(run: str) -> str:
+    """A run of characters that is UTF-8 read as cp1252, read properly; any other run as it is."""
+    try:
+        return run.encode("cp1252").decode("utf-8")
+    except (UnicodeEncodeError, UnicodeDecodeError):
+        return run
+
+
 def mend(text: str) -> str:
     """HTML entities, text that was read as cp1252 instead of UTF-8, control characters, NFKC."""
     if "&" in text and "<" not in text:
         text = html.unescape(text)
-    if any("\x80" <= c <= "\xff" or c in "€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œž" for c in text):
-        try:
-            text = text.encode("cp1252").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            pass
+    text = FOREIGN.sub(lambda m: reread(m[0]), text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     text = "".join(c for c in text if c in "\n\t" or unicodedata.category(c) != "Cc")
     return unicodedata.normalize("NFKC", text)

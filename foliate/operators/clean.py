@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliate.config import CORRECTIONS, CleanConfig
 from foliate.functions import text as X
-from foliate.functions.similarity import may_reach, ratio
+from foliate.functions.similarity import may_reach, nearest, ratio
 from foliate.operators.layout import PAGE, reading_order
+from foliate.runtime import materialise
 
 
 def lookup(pairs: dict[str, str]) -> Column:
@@ -27,12 +28,9 @@ def signature_like(cfg: CleanConfig) -> Column:
     return (F.length(X.strip(F.col("text"))) <= 8) & tall & (F.col("confidence") < cfg.high_confidence)
 
 
-def token_scores(tokens: DataFrame, words: list[str], best_only: bool = True) -> DataFrame:
-    """token (distinct) -> word, score, ord: best ratio against a bounded word list, first of the list on ties."""
-    spark = tokens.sparkSession
-    listed = spark.createDataFrame(list(enumerate(words)), "ord int, word string")  # at most a few hundred rows
-    pairs = tokens.join(F.broadcast(listed), F.lit(True)).withColumn("score", ratio(F.col("token"), F.col("word")))
-    return pairs.groupBy("token").agg(F.max_by(F.struct("word", "score"), F.struct("score", -F.col("ord"))).alias("b")).select("token", "b.*")
+def token_scores(tokens: DataFrame, words: list[str]) -> DataFrame:
+    """token (distinct) -> score: best ratio against a bounded word list."""
+    return tokens.select("token", nearest(words)(F.col("token"))["score"].alias("score"))
 
 
 def word_likeness(blocks: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
@@ -66,11 +64,9 @@ def snap_table(tokens: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame
     exact = keyed.filter(F.col("whole").isNotNull() | F.col("part").isNotNull())
     exact = exact.select("token", F.coalesce("whole", F.concat(lead, F.col("part"), trail)).alias("fixed"))
     fuzzy = keyed.filter(F.col("whole").isNull() & F.col("part").isNull() & F.col("bare").rlike(r"^\p{L}{3,}\z"))
-    listed = tokens.sparkSession.createDataFrame([(i, w, own) for i, (w, own) in enumerate(terms.items())], "ord int, word string, own string")
-    words = fuzzy.select("bare").distinct()
-    near = words.join(F.broadcast(listed), may_reach(F.col("bare"), F.col("word"), cfg.snap_similarity))
-    near = near.withColumn("score", ratio(F.col("bare"), F.col("word"))).filter(F.col("score") >= cfg.snap_similarity)
-    best = near.groupBy("bare").agg(F.max_by(F.struct("word", "own"), F.struct("score", -F.col("ord"))).alias("b")).select("bare", "b.*")
+    near = fuzzy.select("bare").distinct().withColumn("near", nearest(list(terms), cfg.snap_similarity)(F.col("bare"))).filter("near.ord is not null")
+    listed = lambda values: F.get(F.array(*map(F.lit, values)), F.col("near.ord"))
+    best = near.select("bare", listed(terms).alias("word"), listed(terms.values()).alias("own"))
     short, long = F.least(F.length("bare"), F.length("word")), F.length("bare") >= F.length("word")
     variant = (short >= 3) & F.when(long, F.startswith("bare", F.col("word"))).otherwise(F.startswith("word", F.col("bare")))
     best = best.filter((F.col("word") != F.col("bare")) & ~variant)
@@ -137,7 +133,8 @@ def drop_duplicates(blocks: DataFrame, cfg: CleanConfig = CleanConfig()) -> Data
 def clean(blocks: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """The whole cleaner in its order: [garbage], normalise, drop empty, drop duplicates, reading order."""
     rows = garbage(blocks, cfg).filter("not garbage").drop("garbage") if cfg.drop_garbage else blocks
-    rows = normalise(rows, cfg).filter(~X.symbol_only(F.col("text")))
+    # read four times below: written once instead of normalised again each time
+    rows = materialise(normalise(rows, cfg).filter(~X.symbol_only(F.col("text"))))
     return reading_order(drop_duplicates(rows, cfg), cfg.band_px)
 
 
