@@ -150,8 +150,6 @@ class SpeculativeBpe:
         good = self.compatible(pairs >> 20, pairs & (1 << 20) - 1)
         for i in set(owner[1:][inside][~good[which]].tolist()):
             cuts[i] = self.exact(raw[i])
-        if len(self.cache) + len(words) > CACHE_WORDS:
-            self.cache.clear()
         for w, c in zip(words, cuts):
             self.cache[w] = np.array(c, "<u4").tobytes()
 
@@ -167,15 +165,14 @@ class SpeculativeBpe:
             for text in texts[start:end]:
                 parts = [p for p in self.split.split(text) if p] if self.split and self.split.search(text) else [text]
                 lists.append([w for p in parts for w in ([p] if p in self.special else self.pattern.findall(p))])
-            new = {w for words in lists for w in words if w not in self.cache} - self.special.keys()
-            if new:
-                self.learn(new)
+            seen = {w for words in lists for w in words} - self.special.keys()
+            new = seen - self.cache.keys()
+            if len(self.cache) + len(new) > CACHE_WORDS:
+                self.cache.clear()
+                new = seen
+            self.learn(new)
             known, marks = self.cache, {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-            for words in lists:
-                missing = {w for w in words if w not in known and w not in marks}
-                if missing:  # the cache was emptied after this batch's earlier words
-                    self.learn(missing)
-                out.append(b"".join([marks.get(w) or known[w] for w in words]))
+            out += [b"".join([marks.get(w) or known[w] for w in words]) for words in lists]
             start = end
         return out
 

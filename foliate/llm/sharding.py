@@ -66,7 +66,7 @@ def leaves(sized: DataFrame, code: str, limit: int, group: list[str]) -> DataFra
 def place(rows: DataFrame, code: str, directory: DataFrame, group: list[str], name: str) -> DataFrame:
     """Adds the leaf's label ``name`` and bytes: one equi-join for each depth that occurs would scan too often, so
     the row's candidate prefixes at those depths are exploded against the directory's (depth, prefix) index."""
-    depths = sorted(r[0] for r in directory.select("depth").distinct().collect())  # 121 at most
+    depths = sorted(r[0] for r in directory.select("depth").distinct().collect()) or [0]  # 61 at most
     tries = F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col(code), d).alias("prefix")) for d in depths])
     label = F.concat(F.col("depth").cast("string"), F.lit("-"), F.expr("substring(lpad(bin(prefix), 60, '0'), 61 - depth, depth)"))
     return (
