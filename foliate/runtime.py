@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+WRITTEN: dict[str, list[str]] = {}  # scratch tables by application
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -40,16 +41,26 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._foliate_path = path
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table that ``materialise`` returned and nothing reads any more."""
     path = getattr(df, "_foliate_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application. Call it when results that were built on them are written."""
+    for path in WRITTEN.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -253,3 +253,14 @@ def test_the_library_does_not_need_the_training_data_operators():
             for node in ast.walk(ast.parse(p.read_text())):
                 names = [node.module or ""] if isinstance(node, ast.ImportFrom) else [a.name for a in node.names] if isinstance(node, ast.Import) else []
                 assert not any(".llm" in n for n in names), p
+
+
+def test_scratch_tables_are_cleared(spark):
+    from pathlib import Path
+
+    from foliate.runtime import clear_scratch, materialise, scratch_dir
+
+    kept = materialise(spark.range(3))
+    assert kept.count() == 3 and kept._foliate_path.startswith(scratch_dir(spark))
+    clear_scratch(spark)
+    assert not Path(kept._foliate_path.removeprefix("file://").removeprefix("file:")).exists()
