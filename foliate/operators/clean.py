@@ -53,6 +53,11 @@ def garbage(blocks: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     return both.withColumn("garbage", bad).drop("typical_height", "word_score")
 
 
+def prefix_variant(a: Column, b: Column) -> Column:
+    """One begins with the other, which has three letters at least: forms of one word, not a misreading."""
+    return (F.least(F.length(a), F.length(b)) >= 3) & (F.startswith(a, b) | F.startswith(b, a))
+
+
 def snap_table(tokens: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame:
     """token -> fixed, for distinct tokens that change: exact corrections, then the nearest term of the domain."""
     corrections, terms = lookup(CORRECTIONS), cfg.dictionary()
@@ -67,9 +72,7 @@ def snap_table(tokens: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame
     near = fuzzy.select("bare").distinct().withColumn("near", nearest(list(terms), cfg.snap_similarity)(F.col("bare"))).filter("near.ord is not null")
     listed = lambda values: F.get(F.array(*map(F.lit, values)), F.col("near.ord"))
     best = near.select("bare", listed(terms).alias("word"), listed(terms.values()).alias("own"))
-    short, long = F.least(F.length("bare"), F.length("word")), F.length("bare") >= F.length("word")
-    variant = (short >= 3) & F.when(long, F.startswith("bare", F.col("word"))).otherwise(F.startswith("word", F.col("bare")))
-    best = best.filter((F.col("word") != F.col("bare")) & ~variant)
+    best = best.filter((F.col("word") != F.col("bare")) & ~prefix_variant(F.col("bare"), F.col("word")))
     return exact.unionByName(fuzzy.join(best, "bare").select("token", F.concat(lead, F.col("own"), trail).alias("fixed")))
 
 

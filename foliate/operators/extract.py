@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliate.config import FIELDS, META_FIELD, REMOVED_FIELDS, UNKNOWN, Field
-from foliate.functions.formats import checked
+from foliate.functions.columns import bind
+from foliate.functions.formats import CHECKS, checked
 from foliate.functions.text import strip, without_fence
 
 
@@ -14,10 +15,10 @@ def parse_reply(reply: Column) -> Column:
 
     Strings stay, any other value becomes empty. An array or scalar counts as unparseable (its status is ``failed``).
     """
-    tree = F.coalesce(F.try_parse_json(strip(reply)), F.try_parse_json(without_fence(reply)))
-    members = F.try_variant_get(tree, "$", "map<string,variant>")
     as_text = lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise("")
-    return F.when(F.schema_of_variant(tree).startswith("OBJECT"), F.transform_values(members, as_text))
+    members = lambda tree: F.transform_values(F.try_variant_get(tree, "$", "map<string,variant>"), as_text)
+    parsed = lambda tree: F.when(F.schema_of_variant(tree).startswith("OBJECT"), members(tree))
+    return bind(F.coalesce(F.try_parse_json(strip(reply)), F.try_parse_json(without_fence(reply))), parsed)
 
 
 def without_removed(record: Column, life: Column) -> Column:
@@ -68,14 +69,30 @@ def validate(rows: DataFrame, doc_type: str, record_col: str = "record") -> Data
 
 
 def validate_mixed(rows: DataFrame, type_col: str = "doc_type", record_col: str = "record") -> DataFrame:
-    """Rows of any type: adds ``extracted`` (map of the type's fields) and ``status``; a row's own type decides."""
-    out = F.lit(None).cast("map<string,string>")
-    for kind, fields in FIELDS.items():
-        record = without_removed(F.col(record_col), F.lit(kind == "life"))
-        struct = validated(record, fields, kind == "life")
-        pairs = [x for f in fields for x in (F.lit(f.name), struct[f.name])]
-        out = F.when(F.col(type_col) == kind, F.create_map(*pairs)).otherwise(out)
-    rows = rows.withColumn("extracted", F.when(F.col(record_col).isNotNull(), out))
+    """Rows of any type: adds ``extracted`` (map of the type's fields) and ``status``; a row's own type decides.
+
+    The specifications are one literal map, and each format check occurs once in the plan, whatever the number of fields.
+    """
+    spec = lambda f: F.struct(F.lit(f.name).alias("name"), F.lit(f.format).alias("format"), F.lit(f.required).alias("required"))
+    specs = F.create_map(*[x for kind, fields in FIELDS.items() for x in (F.lit(kind), F.array(*map(spec, fields)))])
+    life = F.col(type_col) == "life"
+
+    def value(record: Column, f: Column) -> Column:
+        raw = F.coalesce(F.element_at(record, f["name"]), F.lit(""))
+        raw = F.when(f["required"] & life & (raw == ""), UNKNOWN).otherwise(raw)
+
+        def check(v: Column) -> Column:
+            out = v
+            for kind in CHECKS:
+                out = F.when(f["format"] == kind, checked(v, kind)).otherwise(out)
+            return out
+
+        return bind(raw, check)
+
+    fields = F.element_at(specs, F.col(type_col))
+    names = F.transform(fields, lambda f: f["name"])
+    made = bind(without_removed(F.col(record_col), life), lambda r: F.when(r.isNotNull() & fields.isNotNull(), F.map_from_arrays(names, F.transform(fields, lambda f: value(r, f)))))
+    rows = rows.withColumn("extracted", made)
     return rows.withColumn("status", F.when(F.col("extracted").isNull(), "failed").otherwise("success"))
 
 

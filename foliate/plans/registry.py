@@ -621,3 +621,48 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Extension: tumbling windows (the batch plan of the streaming job)."""
     rows = jobs.event_windows(table(spark, sf, "events"))
     return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+LISTED = f"""{fx.FILES}, listed as (select distinct translate(lower(filename), '_+ ', '') as k from files where key % 5 <> 0),
+    marked as (select f.key, f.filename, l.k is not null as matched from files f left join listed l on translate(lower(f.filename), '_+ ', '') = l.k)"""
+
+
+def matched_files(spark: SparkSession, sf: str, how: str) -> DataFrame:
+    files = fx.files(spark, sf)
+    listed = files.filter("key % 5 <> 0").select(routing.plain_name(F.col("filename")).alias("k")).distinct()
+    return files.join(listed, routing.plain_name(F.col("filename")) == F.col("k"), how).select("key", "filename")
+
+
+@query(f"with {LISTED} select key, filename from marked where not matched")
+def j8_unmatched_files(spark: SparkSession, sf: str) -> DataFrame:
+    return matched_files(spark, sf, "left_anti")
+
+
+@query(f"with {LISTED} select key, filename from marked where matched order by filename limit 50")
+def o6_first_matched_files(spark: SparkSession, sf: str) -> DataFrame:
+    """At most 50 files are evaluated, and unmatched ones don't count (the feature is this limit)."""
+    return matched_files(spark, sf, "left_semi").orderBy("filename").limit(50)
+
+
+@query(
+    f"""with {fx.REPLIES}, bare as (select key, list_extract(['life', 'car', 'boat', 'property'], (key % 4 + 1)::int) as doc_type, {SQL_BODY} as body from replies),
+    parsed as (select *, json_valid(body) and json_type(try_cast(body as json)) = 'OBJECT' as ok from bare)
+    select doc_type, case when ok and doc_type <> 'boat' then 'success' else 'failed' end as status, count(*) as n,
+           sum(case when not ok or doc_type = 'boat' then 0 else case doc_type when 'life' then 18 when 'car' then 25 else 22 end end)::bigint as n_fields from parsed group by all"""
+)
+def v6_status_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.get(F.array(*map(F.lit, ["life", "car", "boat", "property"])), (F.col("key") % 4).cast("int"))
+    rows = fx.replies(spark, sf).select(kind.alias("doc_type"), extract.parse_reply(F.col("reply")).alias("record"))
+    done = extract.validate_mixed(rows)
+    return done.groupBy("doc_type", "status").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size(F.map_keys("extracted")), F.lit(0)).cast("long")).alias("n_fields"))
+
+
+@query(
+    """with t as (select p_partkey as key, lower(p_name) as a, lower(case p_partkey % 3 when 0 then left(p_name, 5) when 1 then p_name || 's' else p_brand end) as b from part)
+    select key, least(length(a), length(b)) >= 3 and (starts_with(a, b) or starts_with(b, a)) as variant from t"""
+)
+def x6_prefix_variants(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    b = F.when(k % 3 == 0, F.substring("p_name", 1, 5)).when(k % 3 == 1, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_brand"))
+    rows = table(spark, sf, "part").select(k.alias("key"), F.lower("p_name").alias("a"), F.lower(b).alias("b"))
+    return rows.select("key", clean.prefix_variant(F.col("a"), F.col("b")).alias("variant"))

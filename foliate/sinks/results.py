@@ -68,3 +68,16 @@ def page_summary(blocks: DataFrame) -> DataFrame:
 
 def event_frame(event: Column, data: Column) -> Column:
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
+
+
+def append_facts(facts: DataFrame, path: str, run: str) -> None:
+    """Adds the scored facts of a run. Totals add up over runs; the same run twice counts twice."""
+    facts.withColumn("run", F.lit(run)).write.mode("append").parquet(path)
+
+
+def load_facts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def clear_facts(spark: SparkSession, path: str, facts_schema) -> None:
+    spark.createDataFrame([], facts_schema).write.mode("overwrite").parquet(path)
