@@ -10,8 +10,9 @@ exact; sets hold 64-bit hashes of n-grams.
    n - ceil(percent n) + 1 of each. The order puts frequent n-grams last (counted over all documents).
 4. Overlap counts over these columns are accumulated for pairs of different components, and a pair is discarded if its
    count plus what its sizes leave beyond the columns can't reach the needed overlap. Columns of up to HOT documents
-   are multiplied by an equi-join; longer columns in dense blocks of at most BLOCK x BLOCK documents, which hold one
-   row per document and emit surviving pairs only.
+   are multiplied by an equi-join; longer columns in blocks of at most BLOCK x BLOCK documents, which hold one row per
+   document and emit surviving pairs only. Where most pairs of a block survive (copies just below the threshold), the
+   blocks' whole sets are multiplied, and one link per document leaves.
 5. Survivors are tested on their whole sets; components of all links are merged.
 
 Defined cases: null or white-space text has an empty set and links with nothing; fewer than ``words`` words make one
@@ -37,7 +38,8 @@ from .components import components
 KEYS = 4
 MIX = np.uint64([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93])
 FREQUENT, FREQUENT_KEPT = 64, 200_000  # n-grams that go last in the order: 1.6 MB at most
-HOT, BLOCK, COLUMNS = 64, 2048, 4096
+HOT, BLOCK, BLOCK_CELLS, COLUMNS = 64, 2048, 2 << 20, 4096
+DENSE = 4  # surviving pairs per document from which a unit's whole sets are multiplied instead
 IDS = 1_000_000  # ids are broadcast up to this count (8 MB)
 
 
@@ -106,14 +108,19 @@ def needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(float(100 + percent)) - 1e-9)
 
 
+def whole_sets(ids: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, n, grams (whole sets) of a materialised list of representatives."""
+    asked = broadcast_if_small(ids, IDS)
+    own = reps.join(asked, "id", "left_semi").select("id", "sig")
+    whole = sets(docs.join(asked, "id", "left_semi"), words, percent, "set")
+    return materialise(whole.join(own, ["id", "sig"], "left_semi").dropDuplicates(["id"]).select("id", "n", "grams"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs u, v (distinct) whose whole sets link."""
     pairs = materialise(pairs)
     ids = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    asked = broadcast_if_small(ids, IDS)
-    own = reps.join(asked, "id", "left_semi").select("id", "sig")
-    whole = sets(docs.join(asked, "id", "left_semi"), words, percent, "set")
-    whole = materialise(whole.join(own, ["id", "sig"], "left_semi").dropDuplicates(["id"]).select("id", "n", "grams"))
+    whole = whole_sets(ids, docs, reps, words, percent)
     one = whole.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("grams").alias("g_u"))
     two = whole.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("grams").alias("g_v"))
     both = pairs.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("g_u", "g_v")))
@@ -135,85 +142,168 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (a * percent <= b * 100) & (b * percent <= a * 100)
 
 
+def overlaps(sides: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Overlap counts of two blocks of n-gram lists; also the dense sides and the n-grams of their columns.
+
+    Columns of more than HOT cells are multiplied densely, COLUMNS at a time; the others are added up cell by cell.
+    """
+    flat = [np.concatenate([*side, np.empty(0, np.int64)]).astype(np.int64) for side in sides]
+    rows = [np.repeat(np.arange(len(side)), [len(g) for g in side]) for side in sides]
+    grams, n = np.unique(np.concatenate(flat), return_counts=True)
+    wide = grams[n > HOT]
+    out = np.zeros([len(side) for side in sides], np.float32)
+    dense, cells = [], []
+    for side, g, r in zip(sides, flat, rows):
+        place = np.minimum(np.searchsorted(wide, g), max(len(wide) - 1, 0))
+        inside = wide[place] == g if len(wide) else np.zeros(len(g), bool)
+        matrix = np.zeros((len(side), len(wide)), np.float32)
+        matrix[r[inside], place[inside]] = 1
+        dense.append(matrix)
+        order = np.argsort(g[~inside], kind="stable")
+        cells.append((g[~inside][order], r[~inside][order]))
+    for at in range(0, len(wide), COLUMNS):
+        out += dense[0][:, at : at + COLUMNS] @ dense[1][:, at : at + COLUMNS].T
+    (g1, r1), (g2, r2) = cells
+    low, high = np.searchsorted(g2, g1, "left"), np.searchsorted(g2, g1, "right")
+    for at in range(0, len(g1), 1 << 16):  # every cell of one side with its column's cells of the other
+        n = (high - low)[at : at + (1 << 16)]
+        start = np.repeat(low[at : at + (1 << 16)] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        np.add.at(out, (np.repeat(r1[at : at + (1 << 16)], n), r2[start + np.arange(len(start))]), 1)
+    return out, dense, wide
+
+
+def two_blocks(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    return group[group.own == group.low.iat[0]], group[group.own == group.high.iat[0]]
+
+
+def may_link(first: pd.DataFrame, second: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of both sides, and which pairs differ in component and have sizes that allow a link."""
+    a, b = first.n.to_numpy()[:, None], second.n.to_numpy()[None]
+    fit = first.component.to_numpy()[:, None] != second.component.to_numpy()[None]
+    return a, b, fit & (a * percent <= b * 100) & (b * percent <= a * 100)
+
+
 def block_pairs(units: DataFrame, percent: int) -> DataFrame:
-    """Multiplies one block of documents with another (or itself) over their hot columns; emits surviving pairs."""
-
-    def run(_, group: pd.DataFrame) -> pd.DataFrame:
-        first, second = group[group.own == group.low.iat[0]], group[group.own == group.high.iat[0]]
-        grams, place = np.unique(np.concatenate(group.grams.to_numpy()), return_inverse=True)
-
-        def counts() -> np.ndarray:
-            out = np.zeros((len(first), len(second)), np.float32)
-            for at in range(0, len(grams), COLUMNS):
-                sides = []
-                for side in (first, second):
-                    dense = np.zeros((len(side), min(COLUMNS, len(grams) - at)), np.float32)
-                    row = np.repeat(np.arange(len(side)), [len(g) for g in side.grams])
-                    col = np.searchsorted(grams, np.concatenate(side.grams.to_numpy())) - at
-                    inside = (col >= 0) & (col < dense.shape[1])
-                    dense[row[inside], col[inside]] = 1
-                    sides.append(dense)
-                out += sides[0] @ sides[1].T
-            return out
+    """Multiplies one block of documents with another (or itself); emits the pairs that survive the size bounds.
+
+    A pair that meets in several hot columns is emitted by the unit of its first one only. A unit where more pairs
+    survive than it has documents, several times over, emits itself instead (u and v null): its whole sets are multiplied.
+    """
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        unit = {c: group[c].iat[0] for c in ("gram", "low", "high")}
+        first, second = two_blocks(group)
         if not len(first) or not len(second):
-            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        a, b = first.n.to_numpy()[:, None], second.n.to_numpy()[None]
-        bound = counts() + np.minimum(first.cold.to_numpy()[:, None], second.cold.to_numpy()[None])
+            return pd.DataFrame({c: [] for c in ("u", "v", *unit)}, dtype="int64")
+        counts, _, _ = overlaps([list(first.grams), list(second.grams)])
+        a, b, fit = may_link(first, second, percent)
         rest = [s.n.to_numpy() - s.columns_.to_numpy() for s in (first, second)]
-        bound += np.maximum(rest[0][:, None], rest[1][None])
-        fit = (bound >= percent * (a + b) / (100 + percent) - 1e-6) & (first.component.to_numpy()[:, None] != second.component.to_numpy()[None])
-        fit &= (a * percent <= b * 100) & (b * percent <= a * 100)
+        fit &= counts + np.maximum(rest[0][:, None], rest[1][None]) >= percent * (a + b) / (100 + percent) - 1e-3
         r, c = np.nonzero(fit)
+        hot = np.unique(np.concatenate([*first.hot, *second.hot]))
+        earlier = hot[hot < unit["gram"]]
+        if len(r) and len(earlier):  # the pairs that share no earlier hot column
+            sides = []
+            for side in (first, second):
+                cells, row = np.concatenate(side.hot.to_numpy()), np.repeat(np.arange(len(side)), [len(g) for g in side.hot])
+                matrix = np.zeros((len(side), len(earlier)), bool)
+                matrix[row[cells < unit["gram"]], np.searchsorted(earlier, cells[cells < unit["gram"]])] = True
+                sides.append(np.packbits(matrix, axis=1))
+            new = np.concatenate([~(sides[0][r[k : k + 65536]] & sides[1][c[k : k + 65536]]).any(1) for k in range(0, len(r), 65536)])
+            r, c = r[new], c[new]
+        if len(r) > DENSE * len(group):
+            return pd.DataFrame({"u": pd.array([None], "Int64"), "v": pd.array([None], "Int64"), **{k: [x] for k, x in unit.items()}})
         x, y = first.id.to_numpy()[r], second.id.to_numpy()[c]
-        return pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)}).drop_duplicates()
+        return pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y), **unit}).drop_duplicates()
+
+    return units.groupBy("gram", "low", "high").applyInPandas(run, "u long, v long, gram long, low int, high int")
+
+
+def block_links(units: DataFrame, percent: int) -> DataFrame:
+    """Multiplies whole sets of two blocks, and emits u, v: each linked document with the smallest it is connected to."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = two_blocks(group)
+        if not len(first) or not len(second):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        counts, _, _ = overlaps([list(first.grams), list(second.grams)])
+        a, b, fit = may_link(first, second, percent)
+        r, c = np.nonzero(fit & (counts * 100 >= percent * (a + b - counts)))
+        ids = np.unique(np.concatenate([first.id.to_numpy(), second.id.to_numpy()]))
+        x, y = np.searchsorted(ids, first.id.to_numpy()[r]), np.searchsorted(ids, second.id.to_numpy()[c])
+        label = np.arange(len(ids))
+        while len(x):
+            new = label.copy()
+            np.minimum.at(new, x, label[y])
+            np.minimum.at(new, y, label[x])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"u": ids[moved], "v": ids[label[moved]]})
 
     return units.groupBy("gram", "low", "high").applyInPandas(run, "u long, v long")
 
 
-def candidate_pairs(columns: DataFrame, percent: int) -> DataFrame:
-    """columns: id, n, component, grams -> pairs u > v of different components that may link."""
+def candidate_pairs(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """columns: id, n, component, grams -> pairs u > v of different components that may link, and dense units.
+
+    A pair that shares a hot column is counted, over all columns, in a unit of blocks; any other pair shares cold columns
+    only, and the join counts all of them.
+    """
     cells = columns.select("id", "n", "component", F.explode("grams").alias("gram"))
-    live = cells.groupBy("gram").agg(F.count("*").alias("df"), F.min("component").alias("a"), F.max("component").alias("b"))
-    live = live.filter("a <> b").select("gram", "df")
+    live = cells.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"))
+    live = live.filter("a <> b").select("gram", "df", "size")
     cells = materialise(cells.join(live, "gram"))
-    columns_ = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
-    hot = materialise(
-        cells.filter(F.col("df") > HOT).groupBy("id", "n", "component").agg(F.collect_list(F.struct("gram", "df")).alias("hot"))
-    )
     cold = cells.filter(F.col("df") <= HOT)
-    heat = broadcast_if_small(materialise(hot.select("id", F.size("hot").alias("heat"))), IDS)
     one = cold.select("gram", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
     two = cold.select("gram", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
     met = one.join(two, "gram").filter("u > v and c_u <> c_v").filter(sizes_fit(F.col("n_u"), F.col("n_v"), percent))
     met = met.groupBy("u", "v", "n_u", "n_v").agg(F.count("*").alias("c"))
-    met = met.join(heat.select(F.col("id").alias("u"), F.col("heat").alias("h_u")), "u", "left")
-    met = met.join(heat.select(F.col("id").alias("v"), F.col("heat").alias("h_v")), "v", "left")
-    p_u, p_v = F.expr(f"(({percent} * n_u + 99) div 100) - 1"), F.expr(f"(({percent} * n_v + 99) div 100) - 1")  # beyond the columns
-    bound = F.col("c") + F.least(F.coalesce("h_u", F.lit(0)), F.coalesce("h_v", F.lit(0))) + F.greatest(p_u, p_v)
-    pairs = met.filter(bound >= needed(F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
-    # hot columns: documents of a column in blocks, every two blocks a unit
-    chill = cold.join(hot.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("cold"))
-    rows = hot.join(chill, "id", "left").withColumn("cold", F.coalesce("cold", F.lit(0)))
-    rows = rows.withColumn("columns_", columns_).withColumn("grams", F.transform("hot", lambda x: x["gram"]))
-    units = rows.withColumn("cell", F.explode("hot")).withColumn("blocks", F.ceil(F.col("cell.df") / F.lit(BLOCK)).cast("int"))
+    beyond = F.greatest(*[F.expr(f"(({percent} * {n} + 99) div 100) - 1") for n in ("n_u", "n_v")])  # sizes less columns
+    pairs = met.filter(F.col("c") + beyond >= needed(F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
+    # hot columns: their documents in blocks (by count and by total size), every two blocks of a column a unit
+    warm = cells.groupBy("id", "n", "component").agg(
+        F.collect_list(F.when(F.col("df") > HOT, F.struct("gram", "df", "size"))).alias("cells"), F.collect_list("gram").alias("grams")
+    )
+    rows = warm.filter(F.size("cells") > 0).withColumn("hot", F.transform("cells", lambda x: x["gram"]))
+    rows = rows.withColumn("columns_", F.expr(f"n - (({percent} * n + 99) div 100) + 1"))
+    blocks = F.greatest(F.ceil(F.col("cell.df") / F.lit(BLOCK)), F.ceil(F.col("cell.size") / F.lit(BLOCK_CELLS))).cast("int")
+    units = rows.withColumn("cell", F.explode("cells")).withColumn("blocks", blocks)
     units = units.withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select(
         F.col("cell.gram").alias("gram"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-        "own", "id", "n", "component", "cold", "columns_", "grams",
+        "own", "id", "n", "component", "columns_", "hot", "grams",
     )
-    return pairs.unionByName(block_pairs(units, percent)).distinct()
+    found = materialise(block_pairs(units, percent))
+    dense = broadcast_if_small(materialise(found.filter("u is null").select("gram", "low", "high")), IDS)
+    dense = units.join(dense, ["gram", "low", "high"], "left_semi").select("gram", "low", "high", "own", "id", "n", "component")
+    return pairs.unionByName(found.filter("u is not null").select("u", "v")).distinct(), dense
+
+
+def dense_links(dense: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links inside dense units, from whole sets."""
+    dense = materialise(dense)
+    if dense.isEmpty():
+        return dense.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    whole = whole_sets(materialise(dense.select("id").distinct()), docs, reps, words, percent)
+    return materialise(block_links(dense.join(whole.select("id", "grams"), "id"), percent))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links, itself included; one row per input row."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialise(sets(texts, words, percent, "head"))
+    full = materialise(sets(texts, words, percent, "head"))
+    often = full.filter("id is not null").select(F.explode("grams").alias("gram")).groupBy("gram").count().filter(F.col("count") > FREQUENT)
+    often = often.orderBy(F.desc("count"), "gram").limit(FREQUENT_KEPT).select("gram").collect()  # an order, not a filter
+    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
+    base = materialise(full.drop("grams"))
+    discard(full)
     known = base.filter("id is not null and n > 0")
-    unique = known.groupBy("id").agg(F.min(F.struct("sig", "n", "keys")).alias("x")).select("id", "x.*")
-    unique = materialise(unique)
+    unique = materialise(known.groupBy("id").agg(F.min(F.struct("sig", "n", "keys")).alias("x")).select("id", "x.*"))
     classes = materialise(unique.groupBy("sig").agg(F.min("id").alias("rep")))
     reps = materialise(unique.join(classes, [unique.sig == classes.sig, unique.id == classes.rep], "left_semi"))
     real = texts.filter("id is not null")
@@ -221,13 +311,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(sure_pairs(reps, percent), real, reps, words, percent)
     first = materialise(components(links))
 
-    often = known.select(F.explode("grams").alias("gram")).groupBy("gram").count().filter(F.col("count") > FREQUENT)
-    often = often.orderBy(F.desc("count"), "gram").limit(FREQUENT_KEPT).select("gram").collect()  # an order, not a filter
-    frequent = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64)))
     columns = sets(real, words, percent, "head", frequent).select("id", "sig", "n", "grams")
     columns = columns.join(reps.select("id", "sig"), ["id", "sig"], "left_semi").join(first, F.col("id") == F.col("node"), "left")
-    columns = columns.withColumn("component", F.coalesce("component", "id")).select("id", "n", "component", "grams")
-    more = verified(candidate_pairs(columns, percent), real, reps, words, percent)
+    columns = materialise(columns.withColumn("component", F.coalesce("component", "id")).select("id", "n", "component", "grams"))
+    pairs, dense = candidate_pairs(columns, percent)
+    more = verified(pairs, real, reps, words, percent).unionByName(dense_links(dense, real, reps, words, percent))
+    discard(columns)
 
     stars = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = materialise(components(more.unionByName(stars)))

@@ -91,12 +91,13 @@ def linked_components(sets, percent=80):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("hot", [None, 2])
+@pytest.mark.parametrize("hot", [None, 2, 3, 4])
 def test_ngram_join_by_brute_force(spark, monkeypatch, hot):
     if hot:  # long columns and several blocks on a small table
         monkeypatch.setattr(ngram_join, "HOT", hot)
         monkeypatch.setattr(ngram_join, "FREQUENT", 3)
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(ngram_join, "DENSE", hot - 3)
     rows = corpus(2, 80)
     want = linked_components({i: grams(t) for i, t, *_ in rows if i is not None})
     got = ngram_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()
