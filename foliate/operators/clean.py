@@ -8,7 +8,10 @@ from foliate.config import CORRECTIONS, CleanConfig
 from foliate.functions import text as X
 from foliate.functions.similarity import may_reach, nearest, ratio
 from foliate.operators.layout import PAGE, reading_order
-from foliate.runtime import materialise
+from foliate.runtime import broadcast_if_small, materialise
+
+
+SNAPPED = 200_000  # changed tokens are broadcast up to this count (about 10 MB), else joined by shuffle
 
 
 def lookup(pairs: dict[str, str]) -> Column:
@@ -69,7 +72,9 @@ def snap_table(tokens: DataFrame, cfg: CleanConfig = CleanConfig()) -> DataFrame
     exact = keyed.filter(F.col("whole").isNotNull() | F.col("part").isNotNull())
     exact = exact.select("token", F.coalesce("whole", F.concat(lead, F.col("part"), trail)).alias("fixed"))
     fuzzy = keyed.filter(F.col("whole").isNull() & F.col("part").isNull() & F.col("bare").rlike(r"^\p{L}{3,}\z"))
-    near = fuzzy.select("bare").distinct().withColumn("near", nearest(list(terms), cfg.snap_similarity)(F.col("bare"))).filter("near.ord is not null")
+    # written before it is used: a projection above would call the function again for each use
+    near = materialise(fuzzy.select("bare").distinct().select("bare", nearest(list(terms), cfg.snap_similarity)(F.col("bare")).alias("near")))
+    near = near.filter("near.ord is not null")
     listed = lambda values: F.get(F.array(*map(F.lit, values)), F.col("near.ord"))
     best = near.select("bare", listed(terms).alias("word"), listed(terms.values()).alias("own"))
     best = best.filter((F.col("word") != F.col("bare")) & ~prefix_variant(F.col("bare"), F.col("word")))
@@ -80,7 +85,8 @@ def snap(rows: DataFrame, key: list[str], cfg: CleanConfig = CleanConfig(), text
     """Snaps the tokens of ``text_col``. Only changed tokens travel: they are joined by distinct token and put back by place."""
     tokens = F.split(text_col, " ", -1)
     each = rows.select(*key, F.posexplode(tokens).alias("at", "token")).filter(F.col("token") != "")
-    table = snap_table(each.select("token").distinct(), cfg)
+    # distinct tokens are read by every rule, so they are written once; those that change are few as a rule
+    table = broadcast_if_small(materialise(snap_table(materialise(each.select("token").distinct()), cfg)), SNAPPED)
     fixes = each.join(table, "token").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("at", "fixed"))).alias("__fixes"))
     joined = rows.join(fixes, key, "left")
     fixed = F.array_join(F.transform(tokens, lambda t, i: F.coalesce(F.element_at("__fixes", i), t)), " ")
