@@ -3,10 +3,13 @@
 Vectors are cut into subspaces of two dimensions with 16 codewords each (four bits; two codes share a byte). Training
 and encoding weigh the part of the residual that is parallel to the vector ``eta`` times as much as the rest, since
 only that part moves the scores of its near queries. Codebooks are fitted on at most ``sample`` vectors of smallest
-id hash; every vector is encoded. A scan sums one 256-entry table lookup per byte for a block of candidates, keeps the
-best ``keep`` of the block with all ties, and scores those exactly, in double precision, on the original vectors. A
-block's exact top k per query leaves the task, so nothing is joined back. Queries go through in blocks of at most
-QUERY_BLOCK (their vectors are broadcast: 64 dimensions make 4 MB); results of blocks are united.
+id hash; every vector is encoded. A scan sums one 256-entry table lookup per byte for a block of candidates and scores
+the best ``keep`` of the block exactly, in double precision, on the original vectors. That gives a floor under the k-th
+best score. The code's score is off by the query's length times the length of the residual at most, which the index
+holds; every candidate that this bound lets reach the floor is scored exactly too, so none of the exact top k is lost,
+however many near copies a group has. Where many candidates stay open, one matrix product thins them first. A block's
+exact top k per query leaves the task, so nothing is joined back. Queries go through in blocks of at most QUERY_BLOCK
+(their vectors are broadcast: 64 dimensions make 4 MB); results of blocks are united.
 
 Defined cases: vectors that are null, of another length than most, zero, or hold null or non-finite components take no
 part; a query with fewer candidates gets them all; ties go to the smaller id; a repeated id is a candidate once per
@@ -27,7 +30,8 @@ from foliate.runtime import materialise
 WIDTH, CODES = 2, 16
 QUERY_BLOCK = 16_384
 CANDIDATE_ROWS = 8_192
-INDEX = "id long, vector binary, code binary"
+MANY = 1 / 32  # share of open candidates from which a matrix product thins them
+INDEX = "id long, vector binary, code binary, error double"
 
 
 def usable(vector: Column) -> Column:
@@ -101,6 +105,12 @@ class Codebook:
         codes = np.concatenate([self.assign(self.padded(vectors[i : i + 2048])) for i in range(0, len(vectors), 2048)])
         return (codes[:, ::2] * CODES + codes[:, 1::2]).astype(np.uint8)
 
+    def errors(self, vectors: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """Lengths of the residuals that the codes leave."""
+        codes = np.stack([packed // CODES, packed % CODES], 2).reshape(len(packed), -1)
+        residual = self.padded(vectors) - self.words[np.arange(self.parts)[None], codes]
+        return np.sqrt(np.einsum("npw,npw->n", residual, residual))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """(bytes, 256, queries) partial scores: both four-bit tables of a byte, added up."""
         dots = np.einsum("qpw,pcw->pcq", self.padded(queries), self.words)
@@ -123,34 +133,53 @@ def build_index(vectors: DataFrame, book: Codebook) -> DataFrame:
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
                 codes = book.encode(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())],
-                    ["id", "vector", "code"],
+                    [batch.column(0), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(book.errors(x, codes))],
+                    ["id", "vector", "code", "error"],
                 )
 
     return vectors.mapInArrow(run, INDEX)
 
 
+def products(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Exact scores of the pairs q[rows], x[cols]."""
+    step = max(1, (1 << 22) // x.shape[1])
+    return np.concatenate([(q[rows[i : i + step]] * x[cols[i : i + step]]).sum(1) for i in range(0, len(rows), step)] or [np.empty(0)])
+
+
 def scan(index: DataFrame, queries, book: Codebook, k: int, keep: int) -> DataFrame:
     """query_id, found array<struct<score, id>>: exact top k of each block of candidates, for a broadcast query block."""
 
-    def block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, qid: np.ndarray, q: np.ndarray, best: list) -> None:
-        step = max(1, (1 << 22) // max(len(ids), 1))  # 16 MB of scores at a time
+    def block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, qid: np.ndarray, q: np.ndarray, best: list) -> None:
+        step = max(1, (1 << 22) // max(len(ids), CANDIDATE_ROWS))  # 16 MB of scores at a time
+        length = np.sqrt(np.einsum("nd,nd->n", x, x))
         for s in range(0, len(qid), step):
             part, part_ids = q[s : s + step], qid[s : s + step]
             tables = book.tables(part)
             scores = np.zeros((len(ids), len(part)), np.float32)
             for j in range(codes.shape[1]):
                 scores += tables[j][codes[:, j]]
-            scores = scores.T
-            need = keep + 1  # the query itself may be among them
-            if len(ids) > need:
-                least = np.partition(scores, len(ids) - need, axis=1)[:, len(ids) - need]
-                rows, cols = np.nonzero(scores >= least[:, None])  # with all ties
-            else:
-                rows, cols = (a.ravel() for a in np.indices(scores.shape))
-            other = ids[cols] != part_ids[rows]
-            rows, cols = rows[other], cols[other]
-            exact = np.concatenate([(part[rows[i : i + 65536]] * x[cols[i : i + 65536]]).sum(1) for i in range(0, len(rows), 65536)] or [np.empty(0)])
+            own = (ids[:, None] == part_ids).T
+            scores = np.where(own, -np.inf, scores.T)
+            size = np.sqrt(np.einsum("qd,qd->q", part, part))[:, None]
+            # a floor under the k-th best score: of earlier blocks, and of the best by code
+            floor = np.array([b[0][k - 1] if b is not None and len(b[0]) >= k else -np.inf for b in best[s : s + step]])
+            if len(ids) > keep >= k:
+                top = np.argpartition(scores, len(ids) - keep, axis=1)[:, len(ids) - keep :]
+                first = products(part, x, np.repeat(np.arange(len(part)), keep), top.ravel()).reshape(top.shape)
+                first[np.take_along_axis(own, top, 1)] = -np.inf
+                floor = np.maximum(floor, np.partition(first, keep - k, axis=1)[:, keep - k])
+            # the residual's part of the score, and the rounding of single precision
+            bound = size * (error * (1 + 1e-9) + book.parts * 2.0**-22 * (length + error))
+            seen = np.isfinite(scores)
+            open_ = ~own & ~(seen & (scores + bound < floor[:, None]))
+            if open_.mean() > MANY:
+                whole = np.where(open_, part @ x.T, -np.inf)
+                off = x.shape[1] * 2.0**-50 * size * length  # products may differ in the last bits
+                if len(ids) > k:
+                    floor = np.maximum(floor, np.partition(whole - off, len(ids) - k, axis=1)[:, len(ids) - k])
+                open_ &= ~(whole + off < floor[:, None])
+            rows, cols = np.nonzero(open_)
+            exact = products(part, x, rows, cols)
             order = np.lexsort((ids[cols], -exact, rows))
             rows, cols, exact = rows[order], cols[order], exact[order]
             start = np.searchsorted(rows, np.arange(len(part)))
@@ -173,7 +202,7 @@ def scan(index: DataFrame, queries, book: Codebook, k: int, keep: int) -> DataFr
                 part = batch.slice(at, CANDIDATE_ROWS)
                 x = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f8").reshape(part.num_rows, -1)
                 codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                block(np.asarray(part.column(0)), x, codes, qid, q, best)
+                block(np.asarray(part.column(0)), x, codes, np.asarray(part.column(3)), qid, q, best)
         have = [i for i, b in enumerate(best) if b is not None and len(b[0])]
         if have:
             found = [[{"score": s, "id": v} for s, v in zip(best[i][0].tolist(), best[i][1].tolist())] for i in have]

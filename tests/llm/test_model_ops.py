@@ -154,6 +154,27 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert [v for v, _ in want[100]] == [got[100][k][0] for k in range(1, 21)]
 
 
+def test_nearest_inside_a_group_of_near_copies(spark):
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(6000, 64))
+    for start, jitter in ((0, 0.02), (1000, 0.1)):  # a third of all rows
+        x[start : start + 1000] = x[start] + jitter * rnd.normal(size=(1000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    ids = np.arange(6000)
+    ids[2000:2100] = 40  # one id on a hundred rows, and on a query's
+    x[2000:2100] = x[40]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, "vec_id", "embedding", (F.col("vec_id") % 100 == 0) | (F.col("vec_id") == 40)).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    y = x.astype(np.float64)
+    assert set(got) == {int(i) for i in ids if i % 100 == 0 or i == 40}
+    for q, best in got.items():
+        score = (y * y[q]).sum(1)
+        want = [int(ids[i]) for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
+        assert [best[k] for k in range(1, 21)] == want
+
+
 def test_few_or_no_neighbours(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     got = [tuple(r) for r in ann.search(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0).collect()]
