@@ -3,11 +3,14 @@
 The units are the words of the text (runs of anything but ASCII white space; characters, where there are fewer than FEW
 words) and a k-mer is K of them in a row. It is
 chosen if its minimal inner substring, one word by its hash, lies at an edge: first or last. The choice depends on the
-k-mer alone, so equal passages choose the same anchors wherever they stand, and the first and last positions of equal
-anchors can be matched. A fingerprint is the sketch of the anchors' hashes: the SKETCH smallest distinct ones, in order,
-as hexadecimal text. All words of a text take part. A text of fewer than K units has one anchor, the whole text.
+k-mer alone, so equal passages choose the same anchors wherever they stand. A fingerprint is all anchors of the text, by
+position, so it grows with the text. A text of fewer than K units, or without a chosen k-mer, has one anchor, the whole
+text. The SKETCH smallest distinct hashes, in order, as hexadecimal text, go along as a short form that nothing is
+computed from.
 
-Likeness is the share of the common hashes among the SKETCH smallest of both sketches (a Jaccard estimate, 0 to 1).
+Two fingerprints are matched by hash, the first positions of equal anchors with each other. Likeness is the share of the
+common anchors among all distinct ones (Jaccard, 0 to 1); alignment is the same share for those common anchors that are
+moved by the same distance, the most frequent one.
 
 Defined cases: null text is empty; two empty fingerprints do not occur (an empty text has an anchor of its own); repeated
 rows are ordered by text; a null id comes first; extra columns are carried along; an empty table gives an empty table.
@@ -44,24 +47,48 @@ def anchors(text: Column) -> Column:
             places, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(h, i + j) for j in range(K)]).alias("hash"))
         )
         one = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(text).alias("hash")))
-        return F.when(F.size(h) >= K, made).otherwise(one)
+        return bind(F.when(F.size(h) >= K, made), lambda x: F.when(F.size(x) > 0, x).otherwise(one))
 
     return bind(F.transform(units, lambda w: F.xxhash64(w)), chosen)
 
 
-def sketch(text: Column) -> Column:
-    """The SKETCH smallest distinct hashes of the anchors of ``text``, ascending.
-
-    The smallest word of a k-mer's run is at an edge often enough that any K words in a row of a long text hold one;
-    should none be chosen in a short text, the whole text is the anchor.
-    """
-    found = F.transform(anchors(text), lambda a: a["hash"])
-    return bind(found, lambda x: F.when(F.size(x) > 0, F.slice(F.sort_array(F.array_distinct(x)), 1, SKETCH)).otherwise(F.array(F.xxhash64(text))))
+def sketch(found: Column) -> Column:
+    """The SKETCH smallest distinct hashes of a list of anchors, ascending."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SKETCH)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    smallest = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return bind(smallest, lambda s: F.size(F.array_intersect(F.array_intersect(s, a), b)) / F.size(s))
+    """struct<near, aligned> of two lists of anchors: one sort brings equal anchors of both together."""
+
+    def side(x: Column, n: int) -> Column:
+        return F.transform(x, lambda v: F.struct(v["hash"].alias("hash"), F.lit(n).alias("side"), v["at"].alias("at")))
+
+    def first(s: Column) -> Column:
+        def new(v: Column, i: Column) -> Column:
+            before = F.get(s, i - 1)
+            return (i == 0) | (before["hash"] != v["hash"]) | (before["side"] != v["side"])
+
+        return F.filter(s, new)
+
+    def moves(s: Column) -> Column:
+        def move(v: Column, i: Column) -> Column:
+            after = F.get(s, i + 1)
+            return F.when(after["hash"] == v["hash"], after["at"] - v["at"])
+
+        return F.sort_array(F.filter(F.transform(s, move), lambda d: d.isNotNull()))
+
+    def longest(sorted_: Column) -> Column:
+        def step(acc: Column, d: Column) -> Column:
+            run = F.when(acc["last"] == d, acc["run"] + 1).otherwise(1)
+            return F.struct(d.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"))
+
+        none = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+        return F.aggregate(sorted_, none, step, lambda acc: acc["most"])
+
+    def shares(s: Column) -> Column:
+        return bind(moves(s), lambda m: F.struct((F.size(m) / (F.size(s) - F.size(m))).alias("near"), (longest(m) / (F.size(s) - F.size(m))).alias("aligned")))
+
+    return bind(bind(F.sort_array(F.concat(side(a, 0), side(b, 1))), first), shares)
 
 
 def as_text(s: Column) -> Column:
@@ -113,14 +140,17 @@ def with_next(rows: DataFrame, id_col: str, tie: str, carried: list[str], derive
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit, whose second half gives way to the next document's first code points."""
     rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = with_next(rows, id_col, "text", ["text", "sketch"], {"sketch": sketch(F.col("text"))})
+    rows = with_next(rows, id_col, "text", ["text"], {})
     half = F.expr("cast(length(text) div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.substring("next_text", F.lit(1), half)))
     rows = rows.select(
-        id_col, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "sketch", "next_sketch",
-        sketch(F.col("edited")).alias("edited_sketch"),
+        id_col, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("fingerprint"),
+        anchors(F.col("edited")).alias("edited_fingerprint"), anchors(F.col("next_text")).alias("next_fingerprint"),
     )
+    rows = rows.withColumns({x: likeness(F.col("fingerprint"), F.col(f"{x}_fingerprint")) for x in ("edited", "next")})
     return rows.select(
-        id_col, "n_chars", "edited_sha256", as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        as_text(sketch(F.col("fingerprint"))).alias("sketch"), as_text(sketch(F.col("edited_fingerprint"))).alias("edited_sketch"),
+        F.col("edited.near").alias("near_edited"), F.col("next.near").alias("near_next"),
+        F.col("edited.aligned").alias("aligned_edited"), F.col("next.aligned").alias("aligned_next"),
     )

@@ -219,6 +219,37 @@ def test_anchors_are_closed_syncmers(spark):
     assert [a.at for a in rows.a] == want
 
 
+def likeness_of(a, b):
+    first = [{}, {}]
+    for side, found in zip(first, (a, b)):
+        for x in found:
+            side[x.hash] = min(x.at, side.get(x.hash, x.at))
+    common = first[0].keys() & first[1].keys()
+    moved = Counter(first[1][h] - first[0][h] for h in common)
+    n = len(first[0].keys() | first[1].keys())
+    return len(common) / n, max(moved.values(), default=0) / n
+
+
+def test_fingerprints_find_a_passage_in_long_texts(spark):
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, rows = words(60), []
+    for pair in range(8):
+        for at in (1000, 3000):
+            text = words(5000)
+            text[at : at + 60] = passage
+            rows.append((2 * pair + (at == 3000), " ".join(text)))
+    rows += [(100, "ab ba " * 500), (101, "ab ba ab " * 90)]  # repeated anchors
+    out = {r.doc_id: r for r in fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(out)
+    for i, after in zip(order, order[1:] + order[:1]):
+        assert (out[i].near_next, out[i].aligned_next) == pytest.approx(likeness_of(out[i].fingerprint, out[after].fingerprint))
+        assert (out[i].near_edited, out[i].aligned_edited) == pytest.approx(likeness_of(out[i].fingerprint, out[i].edited_fingerprint))
+        if after < 16 and i < 16:
+            assert len(out[i].fingerprint) > 2000 and 0 < out[i].aligned_next <= out[i].near_next
+            assert out[i].aligned_edited > 0.2
+
+
 def test_next_row_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
     ids = [5, 1, 9, 200, 7, 1_000_000, 3, 3, 40, 41, 42, 43]
