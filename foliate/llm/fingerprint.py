@@ -1,10 +1,12 @@
 """Document fingerprints by closed syncmers (native: SQL functions only).
 
-The units are the words of the text (runs of anything but ASCII white space; characters, where there are fewer than FEW
-words) and a k-mer is K of them in a row. It is
+The units are words: runs of at most LONG characters that are neither ASCII white space nor of a script written without
+spaces. Characters of such scripts and of longer runs are units of their own. So a passage is cut alike in any text,
+whatever surrounds it. A k-mer is K units in a row. It is
 chosen if its minimal inner substring, one word by its hash, lies at an edge: first or last. The choice depends on the
 k-mer alone, so equal passages choose the same anchors wherever they stand. A fingerprint is all anchors of the text, by
-position, so it grows with the text. A text of fewer than K units, or without a chosen k-mer, has one anchor, the whole
+position, so it grows with the text; a text of fewer than FEW units also has the anchors of its characters. Two texts
+that both have those are compared by them, all others by words, so both sides are always cut alike. A text of fewer than K units, or without a chosen k-mer, has one anchor, the whole
 text. The SKETCH smallest distinct hashes, in order, as hexadecimal text, go along as a short form that nothing is
 computed from.
 
@@ -25,18 +27,32 @@ from foliate.runtime import broadcast_if_small, materialise
 from .line_dedup import bind
 
 K = 4
-FEW = 24  # texts of fewer words (also those written without spaces) are cut into characters
+FEW = 24  # texts of fewer units have anchors of characters too
+LONG = 32
 SKETCH = 64
-WORDS_SPLIT = r"[\x20\x09-\x0D]+"
-SPACE = "\t\n\x0b\x0c\r "
+# South-East Asian scripts, and Han with the scripts used beside it (Hangul has spaces)
+UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+LETTER = rf"[^{UNSPACED}\x20\x09-\x0D]"
+UNIT = rf"(?<!{LETTER}){LETTER}{{1,{LONG}}}+(?!{LETTER})|[^\x20\x09-\x0D]"
 RANGE_ROWS, MAX_RANGES = 2048, 4096
 
 
 def anchors(text: Column) -> Column:
     """array<struct<at, hash>>: the closed syncmers of a text by position (in units)."""
-    words = F.split(F.btrim(text, F.lit(SPACE)), WORDS_SPLIT, -1)
-    units = bind(words, lambda w: F.when(F.size(w) >= FEW, w).otherwise(F.split(text, "")))
+    return syncmers(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), text)
 
+
+def fingerprint(text: Column) -> Column:
+    """struct<words, chars>: the anchors of units and, for fewer than FEW of them, of characters (else null)."""
+
+    def both(units: Column) -> Column:
+        chars = F.when(F.size(units) < FEW, syncmers(F.split(text, ""), text))
+        return F.struct(syncmers(units, text).alias("words"), chars.alias("chars"))
+
+    return bind(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), both)
+
+
+def syncmers(units: Column, text: Column) -> Column:
     def chosen(h: Column) -> Column:
         def at_edge(i: Column) -> Column:
             edge = F.least(F.get(h, i), F.get(h, i + (K - 1)))
@@ -58,7 +74,9 @@ def sketch(found: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """struct<near, aligned> of two lists of anchors: one sort brings equal anchors of both together."""
+    """struct<near, aligned> of two fingerprints: one sort brings equal anchors of both together."""
+    short = a["chars"].isNotNull() & b["chars"].isNotNull()
+    a, b = (F.when(short, x["chars"]).otherwise(x["words"]) for x in (a, b))
 
     def side(x: Column, n: int) -> Column:
         return F.transform(x, lambda v: F.struct(v["hash"].alias("hash"), F.lit(n).alias("side"), v["at"].alias("at")))
@@ -144,13 +162,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     half = F.expr("cast(length(text) div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.substring("next_text", F.lit(1), half)))
     rows = rows.select(
-        id_col, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("fingerprint"),
-        anchors(F.col("edited")).alias("edited_fingerprint"), anchors(F.col("next_text")).alias("next_fingerprint"),
+        id_col, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"),
+        fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"),
     )
     rows = rows.withColumns({x: likeness(F.col("fingerprint"), F.col(f"{x}_fingerprint")) for x in ("edited", "next")})
     return rows.select(
         id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        as_text(sketch(F.col("fingerprint"))).alias("sketch"), as_text(sketch(F.col("edited_fingerprint"))).alias("edited_sketch"),
+        as_text(sketch(F.col("fingerprint.words"))).alias("sketch"), as_text(sketch(F.col("edited_fingerprint.words"))).alias("edited_sketch"),
         F.col("edited.near").alias("near_edited"), F.col("next.near").alias("near_next"),
         F.col("edited.aligned").alias("aligned_edited"), F.col("next.aligned").alias("aligned_next"),
     )

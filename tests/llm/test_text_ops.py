@@ -243,13 +243,28 @@ def test_fingerprints_find_a_passage_in_long_texts(spark):
     out = {r.doc_id: r for r in fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     order = sorted(out)
     for i, after in zip(order, order[1:] + order[:1]):
-        assert (out[i].near_next, out[i].aligned_next) == pytest.approx(likeness_of(out[i].fingerprint, out[after].fingerprint))
-        assert (out[i].near_edited, out[i].aligned_edited) == pytest.approx(likeness_of(out[i].fingerprint, out[i].edited_fingerprint))
+        assert (out[i].near_next, out[i].aligned_next) == pytest.approx(likeness_of(out[i].fingerprint.words, out[after].fingerprint.words))
+        assert (out[i].near_edited, out[i].aligned_edited) == pytest.approx(likeness_of(out[i].fingerprint.words, out[i].edited_fingerprint.words))
         if after < 16 and i < 16:
-            assert len(out[i].fingerprint) > 2000 and 0 < out[i].aligned_next <= out[i].near_next
+            assert len(out[i].fingerprint.words) > 2000 and 0 < out[i].aligned_next <= out[i].near_next
             assert out[i].aligned_edited > 0.2
 
 
+def test_fingerprints_of_any_length_are_cut_alike(spark):
+    rnd = random.Random(6)
+    text = [f"w{rnd.randrange(10**6)}" for _ in range(27)]
+    plain = " ".join(f"v{i}" for i in range(400))
+    pairs = [
+        (text[:24], text[:11] + text[12:24]), (text, text[:14] + text[20:27]), (text[:23], text[:24]), (text[:6], text[:5] + ["other"]),
+        (["".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(300))], None), (["".join(rnd.choice("ABCDEFGHIJ") for _ in range(300))], None),
+    ]
+    rows = [(" ".join(a), " ".join(b) if b else a[0][:150] + " " + plain[:150]) for a, b in pairs]
+    near = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a string, b string")
+    near = near.select("i", fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
+    out = {r.i: r.x.near for r in near.select("i", fingerprint.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert out[0] > 0.5 and out[1] > 0.25 and out[2] > 0.8 and out[3] > 0.4 and out[4] > 0.2 and out[5] > 0.2
+
+
 def test_next_row_across_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
     ids = [5, 1, 9, 200, 7, 1_000_000, 3, 3, 40, 41, 42, 43]
