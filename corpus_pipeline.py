@@ -31,15 +31,25 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id stays, once; documents without links stay."""
+    """Of each group of linked documents the one of smallest id stays, once; documents without links stay.
+
+    Where ids repeat, rows are the nodes: of rows that link, or are equal in their n-grams, the first by id and content
+    stays, whatever the other rows of its id hold.
+    """
     ensure_worker_imports(spark)
-    groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
-    gone = materialise(groups.filter("component_id <> doc_id").select("doc_id").distinct())
-    again = materialise(groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"))
-    left = docs.join(broadcast_if_small(gone, IDS), "doc_id", "left_anti")
-    again = broadcast_if_small(again, IDS)
-    once = left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return once.select(docs.columns)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        groups = ngram_join.jaccard_components(docs.select("doc_id", "text"))
+        gone = materialise(groups.filter("component_id <> doc_id").select("doc_id"))
+        return docs.join(broadcast_if_small(gone, IDS), "doc_id", "left_anti").select(docs.columns)
+    # null ids link with nothing, so they need no node
+    rows = materialise(docs.withColumn("__node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    groups = ngram_join.jaccard_components(rows.select("__node", "text"), id_col="__node")
+    groups = materialise(groups.filter("__node is not null and n_shingles > 0").select("__node", "component_id"))
+    order = F.struct("doc_id", F.sha2(F.to_json(F.struct(*docs.columns)), 256), "__node")  # equal rows only are left to the node
+    met = materialise(rows.select("__node", order.alias("place")).join(groups, "__node"))
+    first = met.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = materialise(met.join(first, "component_id").filter("place <> first").select("__node"))
+    return rows.join(broadcast_if_small(gone, IDS), "__node", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -295,3 +295,23 @@ def test_pipeline_by_brute_force(spark, library):
     for r in out:
         want = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
+
+
+def test_repeated_ids_with_other_texts_stay(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(9)
+    words = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+    many = [" ".join(words()) for _ in range(12)]
+    base = words()
+    near = base[:59] + ["edit"]
+    rows = [(7, t, "a") for t in many] + [(7, many[0], "a"), (7, many[1], "b"), (7, "", "a"), (7, "", "b"), (7, None, "a")]
+    rows += [(9, " ".join(base), "a"), (3, " ".join(near), "b"), (7, " ".join(base), "c"), (5, many[2], "a"), (None, many[3], "a"), (None, many[3], "a"), (8, "alone", "a")]
+    want = [(7, t, "a") for t in many if t not in many[1:3]] + [(7, "", "a"), (7, "", "b"), (7, None, "a"), (3, " ".join(near), "b"), (5, many[2], "a")]
+    want += [(None, many[3], "a"), (None, many[3], "a"), (8, "alone", "a")]
+    runs = []
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        runs.append(sorted((tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()), key=repr))
+    assert runs[0] == runs[1]
+    assert sorted((r for r in runs[0] if r[1] != many[1]), key=repr) == sorted(want, key=repr)
+    assert sum(r[1] == many[1] for r in runs[0]) == 1
