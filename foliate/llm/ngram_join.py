@@ -16,8 +16,8 @@ exact; sets hold 64-bit hashes of n-grams.
 5. Survivors are tested on their whole sets; components of all links are merged.
 
 Defined cases: null or white-space text has an empty set and links with nothing; fewer than ``words`` words make one
-n-gram; a null id is linked with nothing and has a null component; rows that repeat an id with the same text are alike,
-with another text the id takes part with the set of smallest signature; extra columns are ignored; an empty table gives
+n-gram; a null id is linked with nothing and has a null component; rows that repeat an id are alike, and where
+their texts differ each text is a node of its own and an id's texts are linked to each other; extra columns are ignored; an empty table gives
 an empty table.
 """
 
@@ -292,6 +292,18 @@ def dense_links(dense: DataFrame, docs: DataFrame, reps: DataFrame, words: int,
     return materialise(block_links(dense.join(whole.select("id", "grams"), "id"), percent))
 
 
+def of_repeated_ids(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, component_id, where ids repeat with different texts: rows are the nodes, and the rows of one id are linked."""
+    rows = materialise(texts.filter("id is not null").withColumn("node", F.monotonically_increasing_id()))
+    groups = materialise(jaccard_components(rows.select("node", "text"), "node", "text", words, percent).filter("n_shingles > 0"))
+    own = materialise(rows.select("id", "node").join(groups, "node").select("id", F.col("component_id").alias("part")).distinct())
+    least = own.groupBy("id").agg(F.min("part").alias("v"))
+    whole = materialise(components(own.join(least, "id").select(F.col("part").alias("u"), "v")))
+    named = own.join(whole, F.col("part") == F.col("node"), "left").select("id", F.coalesce("component", "part").alias("whole")).distinct()
+    named = materialise(named)
+    return named.join(named.groupBy("whole").agg(F.min("id").alias("component_id")), "whole").select("id", "component_id")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles, component_id: the smallest id reachable by links, itself included; one row per input row."""
     spark = docs.sparkSession
@@ -303,6 +315,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     base = materialise(full.drop("grams"))
     discard(full)
     known = base.filter("id is not null and n > 0")
+    if not known.groupBy("id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").isEmpty():
+        member = of_repeated_ids(texts, words, percent)
+        out = base.select("id", "n").join(member, "id", "left")
+        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     unique = materialise(known.groupBy("id").agg(F.min(F.struct("sig", "n", "keys")).alias("x")).select("id", "x.*"))
     classes = materialise(unique.groupBy("sig").agg(F.min("id").alias("rep")))
     reps = materialise(unique.join(classes, [unique.sig == classes.sig, unique.id == classes.rep], "left_semi"))

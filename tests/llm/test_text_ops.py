@@ -112,6 +112,14 @@ def test_ngram_join_by_brute_force(spark, monkeypatch, hot):
     assert len(set(want.values())) < len(want) - 3
 
 
+def test_ngram_join_of_ids_with_several_texts(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(10, text("a")), (10, text("b")), (10, text("c")), (3, text("a")), (20, text("b") + " x"), (30, text("c")), (30, text("d")), (25, text("d")), (40, text("e")), (41, ""), (10, ""), (None, text("a"))]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter((i, 3 if i in (3, 10, 20, 25, 30) else i) for i, _ in rows)
+    assert Counter(r.n_shingles for r in out) == Counter(len(grams(t)) for _, t in rows)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
