@@ -312,8 +312,7 @@ def f8_garbage(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def f13_word_likeness(spark: SparkSession, sf: str) -> DataFrame:
-    low = fx.blocks(spark, sf).filter("confidence < 0.7")
-    return clean.word_likeness(low).select("doc_id", "page_number", "block_idx", r("word_score"))
+    return clean.word_likeness(fx.blocks(spark, sf)).select("doc_id", "page_number", "block_idx", r("word_score"))
 
 
 @query(

@@ -51,3 +51,13 @@ def test_every_query_without_sql_is_listed():
         "x3_unicode_repair", "x5_domain_snap", "f8_garbage", "f13_word_likeness", "t1_merge_words", "t2_pair_labels", "t3_merge_wrapped",
         "j1_duplicate_pairs", "j4_drop_duplicates", "clean_documents",
     }
+
+
+def test_word_likeness_scores_every_block(spark):
+    from foliate.plans import fixtures as fx
+
+    key = ("doc_id", "page_number", "block_idx")
+    want = sorted(tuple(r) for r in fx.blocks(spark, SF).select(*key).collect())
+    got = registry.QUERIES["f13_word_likeness"](spark, SF).collect()
+    assert sorted(tuple(r[c] for c in key) for r in got) == want
+    assert all(0 <= r.word_score <= 100 for r in got)
