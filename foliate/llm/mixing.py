@@ -3,15 +3,22 @@
 Token shares p of the sources are raised to an exponent a and normalised: a = 1 keeps the corpus as it is, a = 0 gives
 every source the same weight. The exponent is found by repeated section of [0, 1] (33 points a round, one small
 aggregate over the source table each) to meet a target: an entropy of the weights, or a limit on how often the
-scarcest source may be repeated. The weights are realised as budgeted block permutations: a source's documents fall
-into blocks by hash, each epoch permutes the blocks and the documents inside them, and a quota of tokens takes whole
-epochs, then whole blocks, and documents of one last block. Running sums are over blocks and inside the last block
-only, so a source that holds a third of all rows is never summed in one task.
+scarcest source may be repeated.
+
+The weights are realised as budgeted block permutations. A source's documents fall into blocks by hash. Every epoch
+puts the blocks into an order of its own (``block`` is a block's place in it) and the documents inside a block into an
+order of their own (``place``); a source is read by (epoch, block, place). A quota of tokens takes whole epochs, then
+whole blocks of the next epoch in its order, then documents of one last block as long as they fit. Running sums are over
+blocks and inside that one block only, so a source that holds a third of all rows is never summed in one task. A source
+gives at most its quota of tokens, and less than that by the size of one document at most.
 
 The default budget covers: every document occurs at least once, scarce sources more often.
 
-Defined cases: a null source is a source of its own; null or white-space text has 0 tokens and occurs once per whole
-epoch; repeated rows are documents of their own; extra columns are carried along; an empty table gives an empty table.
+Defined cases: a null source is a source of its own; null or white-space text has 0 tokens and occurs with its
+block, where that is taken whole; a text of any length is counted whole; repeated rows are documents of their own, told apart by a copy number
+(equal ones are counted, then dealt out again, so a hot group of copies meets in no task); equal orders do not occur but
+for equal 64-bit hashes; extra columns are carried along, whatever their names (n_tokens, weight, epoch, block and place
+are replaced); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,15 +27,17 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from foliate.functions.columns import fresh
 from foliate.runtime import broadcast_if_small, materialise
 
 POINTS, ROUNDS = 33, 7  # the exponent is known to 32 ** -7
 BLOCK_ROWS = 2048
+COPIES = 10_000  # copies of one row that one task deals out
+SOURCES, BLOCKS = 50_000, 200_000  # rows of the tables of sources and of blocks up to which they are broadcast
 
 
 def word_count(text: Column) -> Column:
-    flat = F.btrim(F.coalesce(text, F.lit("")), F.lit("\t\n\x0b\x0c\r "))
-    return F.when(flat == "", 0).otherwise(F.size(F.split(flat, r"[\x20\x09-\x0D]+", -1))).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def section(shares: DataFrame, met) -> float:
@@ -76,45 +85,97 @@ def source_weights(docs: DataFrame, source_col: str, tokens_col: str, target) ->
     )
 
 
+def whole_row(docs: DataFrame, seed: int) -> Column:
+    """Hash of all columns; a map, which has no order, as its sorted entries, and a type without a hash as JSON."""
+
+    def hashable(name: str, kind: str) -> Column:
+        if kind.startswith("map<") and "map<" not in kind[4:]:
+            return F.sort_array(F.map_entries(F.col(f"`{name}`")))
+        return F.to_json(F.struct(F.col(f"`{name}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{name}`")
+
+    # a null is skipped by the hash, so which columns are null goes into it too
+    nulls = F.concat(*[F.when(F.col(f"`{n}`").isNull(), "0").otherwise("1") for n in docs.columns])
+    return F.xxhash64(F.lit(seed), nulls, *[hashable(n, k) for n, k in docs.dtypes])
+
+
+def dealt(groups: DataFrame, code: str, copies: str, copy: str) -> DataFrame:
+    """One row per copy of the groups' rows, with its number: spread by runs of COPIES before they are written out."""
+    run = fresh(groups.columns, "__run")[0]
+    runs = groups.withColumn(run, F.explode(F.expr(f"sequence(0L, (`{copies}` - 1) div {COPIES})"))).repartition(code, run)
+    last = F.least(F.col(copies), (F.col(run) + 1) * COPIES) - 1
+    return runs.withColumn(copy, F.explode(F.sequence(F.col(run) * COPIES, last))).drop(run, copies)
+
+
+def schedule(weights: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
+    """src, part, epoch, block, room: which blocks an epoch takes, in its order.
+
+    ``room`` is null for a block that is taken whole, else the tokens that the quota leaves for the last block.
+    """
+    each = sizes.join(broadcast_if_small(weights.select(F.col("src").alias("w_src"), "whole", "quota", "tokens"), SOURCES), F.col("src").eqNullSafe(F.col("w_src")))
+    each = each.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), "whole")))
+    order = Window.partitionBy("src", "epoch").orderBy(F.xxhash64(F.lit(seed), "part", "epoch"), "part")
+    each = each.withColumn("block", (F.row_number().over(order) - 1).cast("long"))
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    room = F.col("quota") - F.col("whole") * F.col("tokens") - F.coalesce(before, F.lit(0))
+    each = each.withColumn("room", F.when(F.col("epoch") == F.col("whole"), room))
+    each = each.filter("room is null or room > 0").withColumn("room", F.when(F.col("size") > F.col("room"), F.col("room")))
+    return each.select("src", "part", "epoch", "block", "room")
+
+
 def mix(docs: DataFrame, target, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 17) -> DataFrame:
     """One row per realised occurrence: the row's columns, n_tokens, weight, epoch, block, place.
 
     epoch, block, place order the mix within a source; a reader interleaves the sources by weight.
     """
     kept = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "weight", "epoch", "block", "place")])
-    kept = kept.withColumn("n_tokens", word_count(F.col(text_col)))
-    light = materialise(kept.select(F.col(source_col).alias("src"), "n_tokens", F.xxhash64(id_col, text_col).alias("code")))
-    weights = source_weights(light.withColumnRenamed("src", "__src"), "__src", "n_tokens", target)
+    code, check, copy, copies, src, part, blocks, room, key, second = fresh(
+        kept.columns, "__code", "__check", "__copy", "__copies", "__src", "__part", "__blocks", "__room", "__key", "__second"
+    )
+    coded = kept.withColumns({"n_tokens": word_count(F.col(text_col)), code: whole_row(kept, seed), check: whole_row(kept, seed + 1)})
+    light = materialise(coded.select(F.col(source_col).alias("src"), "n_tokens", F.col(code).alias("code"), F.col(check).alias("check")))
+    weights = source_weights(light, "src", "n_tokens", target)
     # block count of a source: a power of two, so that a block holds about BLOCK_ROWS rows
     weights = weights.withColumn("blocks", F.expr(f"cast(power(2, ceil(log2(greatest(1, n_docs / {BLOCK_ROWS})))) as long)"))
     weights = materialise(weights.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(F.lit(1)).cast("long")))
-    known = broadcast_if_small(weights, 50_000)  # one row per source, 80 bytes
-    block = F.pmod(F.shiftright("code", 20), F.col("blocks"))
-    rows = light.join(known, light.src.eqNullSafe(weights.src)).select(light.src, "code", "n_tokens", "blocks", "tokens", "quota", "whole", block.alias("block"))
-    # order of the blocks in the last, partial epoch, and which of them lie below the rest of the quota
-    sums = rows.groupBy("src", "block", "whole", "tokens", "quota").agg(F.sum("n_tokens").alias("block_tokens"))
-    order = Window.partitionBy("src").orderBy(F.xxhash64(F.col("block"), F.col("whole"), F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
-    rest = (F.col("quota") - F.col("whole") * F.col("tokens")).alias("rest")
-    before = F.coalesce(F.sum("block_tokens").over(order), F.lit(0))
-    sums = sums.withColumn("room", rest - before).select(
-        F.col("src").alias("b_src"), F.col("block").alias("b_block"), F.col("room"), (F.col("block_tokens") <= F.col("room")).alias("all_of_it")
-    )
-    sums = materialise(sums)
-    last = sums.filter("room > 0 and not all_of_it")  # one block a source at most: the rest lie wholly below or above
-    within = Window.partitionBy("src").orderBy(F.xxhash64("code", F.lit(seed)), "code").rowsBetween(Window.unboundedPreceding, -1)
-    edge = rows.join(broadcast_if_small(last, 50_000), rows.src.eqNullSafe(last.b_src) & (rows.block == last.b_block))
-    edge = edge.select("src", "code", "n_tokens", "room").withColumn("used", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    edge = edge.filter((F.col("n_tokens") > 0) & (F.col("used") + F.col("n_tokens") <= F.col("room")))
-    edge = materialise(edge.select(F.col("src").alias("e_src"), F.col("code").alias("e_code")).distinct())
-    # every row: whole epochs, and one more where its block or itself is below the quota
-    full = kept.withColumn("__code", F.xxhash64(id_col, text_col))
-    full = full.join(known.withColumnRenamed("src", "w_src"), F.col(source_col).eqNullSafe(F.col("w_src")))
-    full = full.withColumn("block", F.pmod(F.shiftright("__code", 20), F.col("blocks")))
-    taken = sums.filter("room > 0 and all_of_it").select("b_src", "b_block", F.lit(1).alias("more"))
-    taken, edge = broadcast_if_small(taken, 200_000), broadcast_if_small(edge, 200_000)  # else they shuffle with the rows
-    full = full.join(taken, F.col(source_col).eqNullSafe(F.col("b_src")) & (F.col("block") == F.col("b_block")), "left")
-    full = full.join(edge.withColumn("edge", F.lit(1)), F.col(source_col).eqNullSafe(F.col("e_src")) & (F.col("__code") == F.col("e_code")), "left")
-    epochs = F.col("whole") + F.when(F.col("n_tokens") > 0, F.coalesce("more", "edge", F.lit(0))).otherwise(F.lit(0))
-    full = full.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long") - 1)))
-    full = full.withColumn("place", F.xxhash64("__code", "epoch", F.lit(seed)))
-    return full.select(*kept.columns, "weight", "epoch", "block", "place")
+
+    # copies of one row get numbers
+    repeated = materialise(light.groupBy("code", "check").agg(F.count("*").alias("copies"), F.first("src").alias("src"), F.first("n_tokens").alias("n_tokens")).filter("copies > 1"))
+    light, coded = light.withColumn("copy", F.lit(0).cast("long")), coded.withColumn(copy, F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        again = broadcast_if_small(repeated.select(F.col("code").alias(key), F.col("check").alias(second)), BLOCKS)
+        both = [F.col(code) == F.col(key), F.col(check) == F.col(second)]
+        names = [c for c in coded.columns if c not in (code, check, copy)]
+        groups = coded.join(again, both, "left_semi").groupBy(code, check).agg(
+            F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("row"), F.count("*").alias(copies)
+        )
+        groups = groups.select(*[F.col(f"row.`{c}`").alias(c) for c in names], code, check, copies)
+        coded = coded.join(again, both, "left_anti").unionByName(dealt(groups, code, copies, copy))
+        light = light.join(again, [F.col("code") == F.col(key), F.col("check") == F.col(second)], "left_anti").unionByName(dealt(repeated, "code", "copies", "copy"))
+        light = materialise(light.select("src", "n_tokens", "code", "copy"))
+
+    def placed(rows: DataFrame, by: str, own: str, number: str, name: str) -> DataFrame:
+        """Adds the weight of the row's source and the part of the source that the row belongs to."""
+        known = weights.select(F.col("src").alias(src), "weight", F.col("blocks").alias(blocks))
+        joined = rows.join(broadcast_if_small(known, SOURCES), F.col(by).eqNullSafe(F.col(src)))
+        return joined.withColumn(name, F.pmod(F.xxhash64(F.lit(seed), own, number), F.col(blocks))).drop(blocks, src)
+
+    light = placed(light, "src", "code", "copy", "part")
+    sizes = light.groupBy("src", "part").agg(F.sum("n_tokens").alias("size"))
+    plan = materialise(schedule(weights, sizes, seed))
+    place = lambda own, number, turn: F.xxhash64(F.lit(seed + 1), own, number, turn)
+    # the one block of a source of which only a part fits: documents in the block's order, up to the first that does not fit
+    edge = broadcast_if_small(plan.filter("room is not null").toDF("e_src", "e_part", "epoch", "block", "room"), SOURCES)
+    inside = light.filter("n_tokens > 0").join(edge, F.col("src").eqNullSafe(F.col("e_src")) & (F.col("part") == F.col("e_part")))
+    inside = inside.withColumn("place", place("code", "copy", "epoch"))
+    within = Window.partitionBy("src").orderBy("place", "code", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("upto", F.sum("n_tokens").over(within)).filter("upto <= room")
+    drawn = materialise(inside.select("code", "copy"))
+
+    out = placed(coded, source_col, code, copy, part)
+    taken = broadcast_if_small(plan.toDF(src, key, "epoch", "block", room), BLOCKS)
+    out = out.join(taken, F.col(source_col).eqNullSafe(F.col(src)) & (F.col(part) == F.col(key))).drop(src, key)
+    whole = out.filter(F.col(room).isNull())
+    chosen = broadcast_if_small(drawn.toDF(key, second), BLOCKS)
+    some = out.filter(F.col(room).isNotNull()).join(chosen, (F.col(code) == F.col(key)) & (F.col(copy) == F.col(second)), "left_semi")
+    out = whole.unionByName(some).withColumn("place", place(code, copy, "epoch"))
+    return out.select(*[F.col(f"`{c}`") for c in kept.columns], "n_tokens", "weight", "epoch", "block", "place")

@@ -5,10 +5,12 @@ import math
 import os
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foliate.llm import fingerprint, line_dedup, mixing, ngram_join, queries, sharding, url_filter
@@ -187,6 +189,89 @@ def test_mix_meets_its_quota(spark):
     assert mixing.mix(df.limit(0), mixing.repeats_within(4.0)).count() == 0
 
 
+def spark_hash(seed, *values):
+    """xxhash64 of the engine: each value's hash is the next one's seed; nulls change nothing."""
+    h = 42
+    for v in (seed, *values):
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, Int) else "<q", v)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+class Int(int):
+    """A 32-bit integer column's value."""
+
+
+def test_mix_draws_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rnd = random.Random(8)
+    rows = [(i, "w " * rnd.randrange(0, 9), s) for i, s in enumerate(["a"] * 150 + ["b"] * 60 + [None] * 9)] + [(900, "one two three", "c")] * 40 + [(901, "x " * 3000, "d"), (902, None, "e")]
+    clash = {"tokens": "long", "quota": "long", "blocks": "long", "whole": "string", "share": "double", "n_docs": "long", "edge": "long", "code": "string", "copy": "long", "__code": "long", "room": "long"}
+    extra = (5, None, 3, None, 0.5, 2, 3, "c", 4, 6, 9)
+    df = spark.createDataFrame([(*r, *extra) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"{n} {t}" for n, t in clash.items()))
+    got = mixing.mix(df.repartition(3), mixing.repeats_within(2.5)).collect()
+    assert all(tuple(r[c] for c in clash) == extra for r in got)
+    quotas = {r.src: (r.quota, r.tokens) for r in mixing.source_weights(df.select("source", mixing.word_count(F.col("text")).alias("n")), "source", "n", mixing.repeats_within(2.5)).collect()}
+    seed, nulls = 17, "".join("1" if x is not None else "0" for x in extra)
+    want, copy = Counter(), Counter()
+    by = defaultdict(list)
+    for i, text, s in rows:
+        flags = "1" + str(int(text is not None)) + str(int(s is not None)) + nulls
+        fields = [struct.unpack("<q", struct.pack("<d", x))[0] if isinstance(x, float) else x for x in extra]
+        code = spark_hash(Int(seed), flags, i, text, s, *fields)
+        by[s].append((i, len((text or "").split()), code, copy[i]))
+        copy[i] += 1
+    for s, docs in by.items():
+        blocks = 1 << max(0, math.ceil(math.log2(max(1, len(docs) / 16))))
+        parts = defaultdict(list)
+        for d in docs:
+            parts[spark_hash(Int(seed), d[2], d[3]) % blocks].append(d)
+        quota, tokens = quotas[s]
+        whole = quota // tokens if tokens else 1
+        left, drawn = quota - whole * tokens, 0
+        for epoch in range(whole + 1):
+            order = sorted(parts, key=lambda p: (spark_hash(Int(seed), p, epoch), p))
+            for k, p in enumerate(order):
+                inside = sorted(parts[p], key=lambda d: spark_hash(Int(seed + 1), d[2], d[3], epoch))
+                size = sum(d[1] for d in inside)
+                if epoch == whole and size > left - drawn:
+                    if left > drawn:
+                        used = 0
+                        for d in inside:
+                            if d[1]:
+                                used += d[1]
+                                if used > left - drawn:
+                                    break
+                                want[d[0], epoch, k, spark_hash(Int(seed + 1), d[2], d[3], epoch)] += 1
+                    break
+                if epoch == whole:
+                    if left <= drawn:
+                        break
+                    drawn += size
+                for d in inside:
+                    want[d[0], epoch, k, spark_hash(Int(seed + 1), d[2], d[3], epoch)] += 1
+    assert Counter((r.doc_id, r.epoch, r.block, r.place) for r in got) == want
+    used = Counter()
+    for r in got:
+        used[r.source] += r.n_tokens
+    for s, (quota, tokens) in quotas.items():
+        assert quota - max(d[1] for d in by[s]) <= used[s] <= max(quota, tokens)
+    orders = defaultdict(dict)  # blocks of different epochs come in different orders
+    for r in got:
+        if r.source == "a":
+            orders[r.epoch].setdefault(r.block, set()).add(r.doc_id)
+    assert [orders[0][k] for k in sorted(orders[0])] != [orders[1].get(k) for k in sorted(orders[0])]
+
+
+def test_mix_of_many_copies_keeps_its_quota(spark):
+    df = spark.createDataFrame([(1, "w w w", "a")] * 1000 + [(2, "w " * 4000, "b")], "doc_id long, text string, source string")
+    used = {r.source: r.n for r in mixing.mix(df, mixing.repeats_within(1.2)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    quota = {r.src: r.quota for r in mixing.source_weights(df.select("source", mixing.word_count(F.col("text")).alias("n")), "source", "n", mixing.repeats_within(1.2)).collect()}
+    assert quota["a"] > 3000 and quota["a"] - 3 <= used["a"] <= quota["a"]
+
+
 def test_mix_by_entropy(spark):
     df = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "s string, n long")
     for target in (0.5, 0.9, 1.09):
