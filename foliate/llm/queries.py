@@ -36,7 +36,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"select * from values {', '.join(map(str, RULES))} as rules(host, path, verdict)")
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 

@@ -391,6 +391,23 @@ def test_urls_by_brute_force(spark):
     assert url_filter.judge(spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string"), rules.limit(0)).first().verdict == "allow"
 
 
+def test_urls_of_many_shapes_and_hot_keys(spark):
+    rules = [("h.org", "/" + "p" * n, "block" if n % 2 else "allow") for n in range(5000)] + [(".".join(["d"] * n), "/", "block") for n in range(1, 60)]
+    rows = [(i, "http://x.h.org/" + "p" * (i % 6000) + "/z") for i in range(0, 6000, 90)] + [(9000, f"http://{'.'.join(['d'] * n)}/q") for n in range(1, 90)]
+    rows += [(10_000, "HTTP://A.H.ORG/ppp?x")] * 1500 + [(10_001, None), (10_002, "http://" + "q" * 50_000 + "/")]
+    clash = spark.createDataFrame(rows, "page_id long, url string").withColumns({"__key": F.lit(1), "__of_host": F.lit("x"), "n": F.lit(2), "salt": F.lit(3), "digest": F.lit("d")})
+    out = url_filter.judge(clash.repartition(4), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(out) == len(rows) and {(r["__key"], r["__of_host"], r.n, r.salt, r.digest) for r in out} == {(1, "x", 2, 3, "d")}
+    for r in out:
+        if r.page_id < 6000:
+            n = min(r.page_id, 4999)
+            assert (r.rule, r.verdict) == ("h.org/" + "p" * n, "block" if n % 2 else "allow")
+        elif r.page_id == 9000:
+            assert (r.rule, r.verdict) == (".".join(["d"] * min(59, len(r.host.split(".")))) + "/", "block")
+        else:
+            assert (r.rule, r.verdict) == (("h.org/ppp", "block") if r.page_id == 10_000 else (None, "allow"))
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_sql(spark, name):
