@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 from foliate.functions.columns import fresh
 from foliate.runtime import broadcast_if_small, materialise
 
+from .copies import dealt, whole_row
+
 POINTS, ROUNDS = 33, 7  # the exponent is known to 32 ** -7
 BLOCK_ROWS = 2048
-COPIES = 10_000  # copies of one row that one task deals out
 SOURCES, BLOCKS = 50_000, 200_000  # rows of the tables of sources and of blocks up to which they are broadcast
 
 
@@ -85,27 +86,6 @@ def source_weights(docs: DataFrame, source_col: str, tokens_col: str, target) ->
     )
 
 
-def whole_row(docs: DataFrame, seed: int) -> Column:
-    """Hash of all columns; a map, which has no order, as its sorted entries, and a type without a hash as JSON."""
-
-    def hashable(name: str, kind: str) -> Column:
-        if kind.startswith("map<") and "map<" not in kind[4:]:
-            return F.sort_array(F.map_entries(F.col(f"`{name}`")))
-        return F.to_json(F.struct(F.col(f"`{name}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{name}`")
-
-    # a null is skipped by the hash, so which columns are null goes into it too
-    nulls = F.concat(*[F.when(F.col(f"`{n}`").isNull(), "0").otherwise("1") for n in docs.columns])
-    return F.xxhash64(F.lit(seed), nulls, *[hashable(n, k) for n, k in docs.dtypes])
-
-
-def dealt(groups: DataFrame, code: str, copies: str, copy: str) -> DataFrame:
-    """One row per copy of the groups' rows, with its number: spread by runs of COPIES before they are written out."""
-    run = fresh(groups.columns, "__run")[0]
-    runs = groups.withColumn(run, F.explode(F.expr(f"sequence(0L, (`{copies}` - 1) div {COPIES})"))).repartition(code, run)
-    last = F.least(F.col(copies), (F.col(run) + 1) * COPIES) - 1
-    return runs.withColumn(copy, F.explode(F.sequence(F.col(run) * COPIES, last))).drop(run, copies)
-
-
 def schedule(weights: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
     """src, part, epoch, block, room: which blocks an epoch takes, in its order.
 
@@ -169,13 +149,12 @@ def mix(docs: DataFrame, target, id_col: str = "doc_id", source_col: str = "sour
     inside = inside.withColumn("place", place("code", "copy", "epoch"))
     within = Window.partitionBy("src").orderBy("place", "code", "copy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.sum("n_tokens").over(within)).filter("upto <= room")
-    drawn = materialise(inside.select("code", "copy"))
+    drawn = materialise(inside.select("code", "copy").distinct())
 
     out = placed(coded, source_col, code, copy, part)
     taken = broadcast_if_small(plan.toDF(src, key, "epoch", "block", room), BLOCKS)
     out = out.join(taken, F.col(source_col).eqNullSafe(F.col(src)) & (F.col(part) == F.col(key))).drop(src, key)
-    whole = out.filter(F.col(room).isNull())
     chosen = broadcast_if_small(drawn.toDF(key, second), BLOCKS)
-    some = out.filter(F.col(room).isNotNull()).join(chosen, (F.col(code) == F.col(key)) & (F.col(copy) == F.col(second)), "left_semi")
-    out = whole.unionByName(some).withColumn("place", place(code, copy, "epoch"))
+    out = out.join(chosen, (F.col(code) == F.col(key)) & (F.col(copy) == F.col(second)), "left")
+    out = out.filter(F.col(room).isNull() | F.col(key).isNotNull()).withColumn("place", place(code, copy, "epoch"))
     return out.select(*[F.col(f"`{c}`") for c in kept.columns], "n_tokens", "weight", "epoch", "block", "place")

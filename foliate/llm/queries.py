@@ -21,7 +21,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign_shards
 
-    return assign_shards(table(spark, sf_dir, "documents"), ["doc_id"], SHARD_LIMIT)
+    shards = assign_shards(table(spark, sf_dir, "documents"), ["doc_id"], SHARD_LIMIT)
+    return shards.select("doc_id", "n_bytes", "shard", "shard_bytes", "oversized")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 The directory is indexed by leading bits of a key's MD5 hash. A bucket over the byte limit splits on its next bit;
 others stay, so neighbouring shards have different depths. Sizes are summed by (depth, prefix) in one shuffle of
-partial sums, a round of ``STEP`` bits at a time, and only rows of buckets that are still too large go on. The
+partial sums, a round of ``STEP`` bits at a time, and only rows of buckets that are still too large go on. A round's
+cells (the codes' first bits) are mapped to their leaves, and a row meets the directory by one join on its cell. The
 directory is a DataFrame (its length follows total bytes / limit); no row list reaches the driver.
 
 A key's own bits end at 60. Rows of one key that are over the limit together (a hot key may hold a third of all rows)
 go on to 60 bits of a hash of the whole row, and copies of one whole row are dealt by copy number, so every shard fits
 unless it is a single row larger than the limit (``oversized``).
 
-Defined cases: a null key is hashed as an empty string with a marker; null text has 0 bytes; repeated rows are all
-kept; extra columns are carried along (columns named like the result's are replaced); an empty table gives an empty
-table.
+Defined cases: a null key is hashed as a marker, so rows without a key are rows of one key; null or empty text has 0
+bytes; a long text is one row, in a shard of its own if it is over the limit; repeated rows are all kept; extra columns
+are carried along, whatever their names (n_bytes, shard, shard_bytes and oversized are replaced); an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliate.runtime import materialise
 
+from .copies import dealt, whole_row
+
 BITS = 60
 STEP = 20  # depths that one round looks at
+CELLS = 1 << 20  # rows of a table of cells up to which it is broadcast (about 40 MB): all of a first round
+HOT = 10_000
 
 
 def bits(digest: Column) -> Column:
@@ -35,91 +41,95 @@ def prefix(code: Column, depth: int) -> Column:
     return F.shiftright(code, BITS - depth)
 
 
-def leaves(sized: DataFrame, code: str, limit: int, group: list[str]) -> DataFrame:
-    """group..., depth, prefix, bytes: the smallest depth at which each bucket of ``code`` fits ``limit``.
+def leaves(sized: DataFrame, limit: int, group: list[str]) -> list[tuple[int, DataFrame, DataFrame | None]]:
+    """sized: group..., code, n -> rounds of (bits, cells, rest): group..., cell -> depth, prefix, bytes, rows.
 
-    What doesn't fit at all 60 bits comes out at depth 60 and is over the limit.
+    A round's cells are the codes' first ``bits`` bits; ``rest`` are those whose bucket still doesn't fit (none in the
+    last round). A cell's leaf is the smallest depth at which its bucket fits ``limit``, so only oversized buckets have
+    split; what doesn't fit at all 60 bits comes out at depth 60 and is over the limit.
     """
-    found, rest, low = [], sized, 0
+    rounds, going, low = [], sized, 0
     while True:
         high = min(low + STEP, BITS)
-        cells = rest.groupBy(*group, prefix(F.col(code), high).alias("cell")).agg(F.sum("n").alias("n"))
-        levels = cells.select(*group, "n", "cell", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+        cells = materialise(going.groupBy(*group, prefix(F.col("code"), high).alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
+        levels = cells.select(*group, "n", "cell", "rows", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {high} - depth)"))
-        sums = materialise(levels.groupBy(*group, "depth", "prefix").agg(F.sum("n").alias("bytes")))
-        fits = sums.filter((F.col("bytes") <= limit) if high < BITS else ((F.col("bytes") <= limit) | (F.col("depth") == BITS)))
-        # a leaf fits and its parent doesn't (the root of the first round has none)
-        parents = sums.filter(F.col("bytes") > limit).select(*group, (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
-        parents = parents.withColumnRenamed("parent", "over")
-        child = fits.withColumn("over", F.expr("shiftright(prefix, 1)"))
-        split = child.join(parents, [*group, "depth", "over"], "left_semi")
-        whole = fits.filter(F.col("depth") == low) if low == 0 else fits.limit(0)
-        found.append(split.drop("over").unionByName(whole))
-        large = sums.filter((F.col("depth") == high) & (F.col("bytes") > limit))
-        if high == BITS or large.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        keep = large.select(*group, F.col("prefix").alias("cell"))
-        rest = rest.withColumn("cell", prefix(F.col(code), high)).join(keep, [*group, "cell"], "left_semi").drop("cell")
+        sums = levels.groupBy(*group, "depth", "prefix").agg(F.sum("n").alias("bytes"))
+        fits = sums.filter((F.col("bytes") <= limit) | (F.col("depth") == BITS))
+        found = levels.join(fits, [*group, "depth", "prefix"]).groupBy(*group, "cell", "rows").agg(F.min(F.struct("depth", "prefix", "bytes")).alias("leaf"))
+        found = materialise(found.select(*group, "cell", "leaf.*", "rows"))
+        rest = materialise(cells.join(found, [*group, "cell"], "left_anti").select(*group, "cell", "rows"))
+        if high == BITS or rest.isEmpty():
+            return [*rounds, (high, found, None)]
+        rounds.append((high, found, rest))
+        going = meet(going.withColumn("cell", prefix(F.col("code"), high)), rest, [*group, "cell"]).drop("cell")
         low = high
 
 
-def place(rows: DataFrame, code: str, directory: DataFrame, group: list[str], name: str) -> DataFrame:
-    """Adds the leaf's label ``name`` and bytes: one equi-join for each depth that occurs would scan too often, so
-    the row's candidate prefixes at those depths are exploded against the directory's (depth, prefix) index."""
-    depths = sorted(r[0] for r in directory.select("depth").distinct().collect()) or [0]  # 61 at most
-    tries = F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col(code), d).alias("prefix")) for d in depths])
-    label = F.concat(F.col("depth").cast("string"), F.lit("-"), F.expr("substring(lpad(bin(prefix), 60, '0'), 61 - depth, depth)"))
-    return (
-        rows.withColumn("__try", F.explode(tries))
-        .withColumns({"depth": F.col("__try.depth"), "prefix": F.col("__try.prefix")})
-        .drop("__try")
-        .join(directory.select(*group, "depth", "prefix", "bytes"), [*group, "depth", "prefix"])
-        .withColumn(name, label)
-        .drop("prefix")
-    )
+def meet(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of rows with a table of unique keys ``on`` and how many ``rows`` each has.
+
+    A small table is broadcast. Of a large one, the keys that hold more than one in HOT of all rows are (so they are
+    fewer than HOT); no task gathers the rows of a hot key.
+    """
+    if table.limit(CELLS + 1).count() <= CELLS:
+        return rows.join(F.broadcast(table.drop("rows")), on)
+    hot = F.col("rows") * HOT > table.agg(F.sum("rows")).first()[0]
+    return rows.join(F.broadcast(table.filter(hot).drop("rows")), on).unionByName(rows.join(table.filter(~hot).drop("rows"), on))
+
+
+def place(rows: DataFrame, rounds: list, group: list[str]) -> DataFrame:
+    """Adds depth, prefix and bytes of the leaf of ``code``: one join on a row's cell per round."""
+    out = []
+    for high, found, rest in rounds:
+        rows = rows.withColumn("cell", prefix(F.col("code"), high))
+        out.append(meet(rows, found, [*group, "cell"]).drop("cell"))
+        if rest is not None:
+            rows = meet(rows, rest, [*group, "cell"]).drop("cell")
+    return reduce(DataFrame.unionByName, out)
+
+
+def label() -> Column:
+    bits_ = F.expr("substring(lpad(bin(prefix), 60, '0'), 61 - depth, depth)")
+    return F.concat(F.col("depth").cast("string"), F.lit("-"), bits_)
 
 
 def assign_shards(docs: DataFrame, key_cols: list[str], limit: int, text_col: str = "text") -> DataFrame:
-    """One row per input row: key columns, n_bytes, shard (label), shard_bytes, oversized."""
-    rows = docs.select(
-        *key_cols,
-        bits(F.md5(F.concat_ws("\n", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in key_cols]))).alias("code"),
-        F.struct(*docs.columns).alias("whole"),
-        F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n"),
-    )
-    rows = materialise(
-        rows.select(*key_cols, "code", bits(F.md5(F.to_json("whole", {"ignoreNullFields": "false"}))).alias("row_code"), "n")
-    )
-    directory = materialise(leaves(rows.select("code", "n"), "code", limit, []))
-    placed = place(rows, "code", directory, [], "shard")
-    over = placed.filter(F.col("bytes") > limit)
+    """``docs`` with n_bytes, shard (label), shard_bytes and oversized."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # so that no name clashes with those used here
+    at = dict(zip(docs.columns, plain.columns))
+    key = F.concat_ws("\n", *[F.coalesce(F.col(at[k]).cast("string"), F.lit("\x00")) for k in key_cols])
+    sized = plain.withColumns({"code": bits(F.md5(key)), "n": F.coalesce(F.octet_length(at[text_col]), F.lit(0)).cast("long")})
+    rounds = leaves(materialise(sized.select("code", "n")), limit, [])
+    placed = place(sized, rounds, []).withColumn("shard", label())
     fine = placed.filter(F.col("bytes") <= limit)
-    out = [*key_cols, "n", "shard", "bytes"]
-    if directory.filter(F.col("bytes") > limit).isEmpty():
-        return finish(fine.select(*out), key_cols, limit)
-    # rows of one key: split on bits of the whole row
-    over = materialise(over.drop("depth", "bytes").withColumnRenamed("shard", "above"))
-    second = materialise(leaves(over.select("above", "row_code", "n"), "row_code", limit, ["above"]))
-    again = place(over, "row_code", second, ["above"], "part").withColumn("shard", F.concat_ws("+", "above", "part"))
-    whole = again.filter(F.col("bytes") <= limit).select(*out)
-    # copies of one whole row: counted, then dealt out by copy number
-    copies = again.filter(F.col("bytes") > limit).groupBy(*key_cols, "n", "shard").agg(F.count("*").alias("copies"))
-    per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n"), F.lit(1)))).cast("long")
-    copies = copies.withColumn("per", per).withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)")))
-    first = F.expr("copy div per")
-    dealt = copies.withColumn("bytes", F.least("per", F.col("copies") - first * F.col("per")) * F.col("n"))
-    dealt = dealt.withColumn("shard", F.concat_ws("+", "shard", first.cast("string"))).select(*out)
-    return finish(fine.select(*out).unionByName(whole).unionByName(dealt), key_cols, limit)
-
-
-def finish(rows: DataFrame, key_cols: list[str], limit: int) -> DataFrame:
-    return rows.select(
-        *key_cols, F.col("n").alias("n_bytes"), "shard", F.col("bytes").alias("shard_bytes"), (F.col("bytes") > limit).alias("oversized")
-    )
-
-
-def write_shards(docs: DataFrame, path: str, key_col: str, limit: int, text_col: str = "text") -> None:
-    """Writes ``docs`` (unique non-null ``key_col``) as one folder of Parquet per shard."""
-    shards = assign_shards(docs, [key_col], limit, text_col).select(F.col(key_col).alias("__key"), "shard")
-    plain = docs.drop("shard")
-    plain.join(shards, F.col(key_col) == F.col("__key")).drop("__key").repartition("shard").write.partitionBy("shard").parquet(path)
+    out = [*plain.columns, "n", "shard", "bytes"]
+    parts = [fine.select(*out)]
+    if not rounds[-1][1].filter(F.col("bytes") > limit).isEmpty():
+        # rows of one key: split on bits of the whole row
+        whole = whole_row(plain, 1)
+        over = placed.filter(F.col("bytes") > limit).drop("code", "depth", "prefix", "bytes").withColumnRenamed("shard", "above")
+        over = over.withColumns({"code": F.shiftrightunsigned(whole, 64 - BITS), "whole": whole, "check": whole_row(plain, 2)})
+        second = leaves(materialise(over.select("above", "code", "n")), limit, ["above"])
+        again = place(over, second, ["above"]).withColumn("shard", F.concat_ws("+", "above", label()))
+        parts.append(again.filter(F.col("bytes") <= limit).select(*out))
+        # copies of one whole row: counted, then dealt out by copy number
+        same = again.filter(F.col("bytes") > limit).groupBy("whole", "check").agg(
+            F.first(F.struct(*plain.columns, "n", "shard")).alias("row"), F.count("*").alias("copies")
+        )
+        same = same.select("whole", "check", "row.*", "copies", F.col("copies").alias("all"))
+        same = dealt(same, "whole", "copies", "copy")
+        per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n"), F.lit(1)))).cast("long")
+        same = same.withColumn("per", per).withColumn("first", F.expr("copy div per"))
+        same = same.withColumn("bytes", F.least("per", F.col("all") - F.col("first") * F.col("per")) * F.col("n"))
+        parts.append(same.withColumn("shard", F.concat_ws("+", "shard", F.col("whole").cast("string"), F.col("first").cast("string"))).select(*out))
+    done = reduce(DataFrame.unionByName, parts)
+    added = {"n_bytes": F.col("n"), "shard": F.col("shard"), "shard_bytes": F.col("bytes"), "oversized": F.col("bytes") > limit}
+    kept = [F.col(c).alias(name) for name, c in at.items() if name.lower() not in added]
+    return done.select(*kept, *[v.alias(k) for k, v in added.items()])
+
+
+def write_shards(docs: DataFrame, path: str, key_cols: list[str], limit: int, text_col: str = "text") -> None:
+    """Writes ``docs`` as one folder of Parquet per shard, without the sizes."""
+    shards = assign_shards(docs, key_cols, limit, text_col).drop("n_bytes", "shard_bytes", "oversized")
+    shards.repartition("shard").write.partitionBy("shard").parquet(path)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliate.llm import fingerprint, line_dedup, mixing, ngram_join, queries, sharding, url_filter
+from foliate.llm import copies, fingerprint, line_dedup, mixing, ngram_join, queries, sharding, url_filter
 from foliate.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -156,10 +156,31 @@ def test_shards_fit(spark, limit):
     assert sharding.assign_shards(df.limit(0), ["doc_id"], limit).count() == 0
 
 
+@pytest.mark.parametrize("step", [3, 20])
+def test_shards_by_brute_force(spark, monkeypatch, step):
+    monkeypatch.setattr(sharding, "STEP", step)
+    monkeypatch.setattr(sharding, "CELLS", 4 if step == 3 else 1 << 20)
+    rows = [(i, "x" * (i * 7 % 53), i, "s", 1) for i in range(300)] + [(0, None, 1, "t", 2)]
+    df = spark.createDataFrame(rows, "code long, text string, n int, bytes string, depth int").withColumn("Shard", F.lit("old"))
+    code = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(300)}
+    sizes = Counter()
+    for i, text, *_ in rows:
+        for depth in range(61):
+            sizes[depth, code[i] >> (60 - depth)] += len(text or "")
+    out = sharding.assign_shards(df, ["code"], 400)
+    assert out.columns == ["code", "text", "n", "bytes", "depth", "n_bytes", "shard", "shard_bytes", "oversized"]
+    want = Counter()
+    for i, text, n, b, d in rows:
+        depth = next(d for d in range(61) if sizes[d, code[i] >> (60 - d)] <= 400)
+        want[i, text, n, b, d, len(text or ""), f"{depth}-{f'{code[i]:060b}'[:depth]}", sizes[depth, code[i] >> (60 - depth)], False] += 1
+    assert Counter(map(tuple, out.collect())) == want
+
+
 def test_shards_are_written(spark, tmp_path):
-    df = spark.createDataFrame([(i, "x" * 40, "k") for i in range(50)], "doc_id long, text string, shard string")
-    sharding.write_shards(df, str(tmp_path / "s"), "doc_id", 400)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 50 and len(list((tmp_path / "s").glob("shard=*"))) >= 5
+    rows = [(i, "x" * 40, "k") for i in range(50)] + [(None, "y" * 40, "k")] * 30 + [(7, "z" * 40, f"{i}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    sharding.write_shards(df, str(tmp_path / "s"), ["doc_id"], 400)
+    assert Counter((r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == Counter((i, x) for i, x, _ in rows) and len(list((tmp_path / "s").glob("shard=*"))) >= 5
 
 
 def test_mix_meets_its_quota(spark):
@@ -205,7 +226,7 @@ class Int(int):
 
 def test_mix_draws_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 16)
-    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(copies, "COPIES", 7)
     rnd = random.Random(8)
     rows = [(i, "w " * rnd.randrange(0, 9), s) for i, s in enumerate(["a"] * 150 + ["b"] * 60 + [None] * 9)] + [(900, "one two three", "c")] * 40 + [(901, "x " * 3000, "d"), (902, None, "e")]
     clash = {"tokens": "long", "quota": "long", "blocks": "long", "whole": "string", "share": "double", "n_docs": "long", "edge": "long", "code": "string", "copy": "long", "__code": "long", "room": "long"}
