@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,14 +26,26 @@ def ensure_worker_imports(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in ``spark.checkpoint.dir``; a temporary one only if it is unset."""
+    """The shared folder the session names in ``spark.checkpoint.dir``; where all runs on one machine, a temporary one.
+
+    On a cluster each executor would write to a disk of its own, and later reads would miss those files: that raises.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="foliate-scratch-")
+        master = spark.sparkContext.master
+        if not one_machine(master):
+            raise RuntimeError(f"master {master}: name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="foliate-scratch-")
+        atexit.register(shutil.rmtree, folder, True)
+        named = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cuts lineage: writes ``df`` once as Parquet in the shared folder and reads it back.
 
@@ -63,6 +79,15 @@ def clear_scratch(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables last as long as this block: write results inside it."""
+    try:
+        yield
+    finally:
+        clear_scratch(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

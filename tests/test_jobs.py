@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from foliate import runtime
 from foliate.__main__ import main
 from foliate.functions.frames import blur, ssim
 from foliate.sinks import results
@@ -83,3 +84,19 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([("a.pdf", "x", "1")], "filename string, field string, predicted string").write.parquet(str(tmp_path / "pred"))
     main(["evaluate", "--gt", str(tmp_path / "gt.json"), "--predictions", str(tmp_path / "pred"), "--output", str(tmp_path / "eval")])
     assert spark.read.text(str(tmp_path / "eval" / "report")).count() == 3
+
+
+def test_scratch_wants_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.scratch_dir(Session())
+    assert [runtime.one_machine(m) for m in ("local", "local[8]", "local[*]", "local-cluster[2,1,1024]", "yarn")] == [True, True, True, False, False]
