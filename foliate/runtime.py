@@ -7,7 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -61,6 +61,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return back
 
 
+def materialise_parts(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame | None:
+    """``materialise`` of the union of frames that are made, and written, one after the other (None without any)."""
+    path, schema = f"{scratch_dir(spark)}/foliate-{uuid.uuid4().hex}", None
+    WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for part in parts:
+        schema = part.schema
+        part.write.mode("append").parquet(path)
+    if schema is None:
+        return None
+    back = spark.read.schema(schema).parquet(path)
+    back._foliate_path = path
+    return back
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
