@@ -8,30 +8,32 @@ the best ``keep`` of the block exactly, in double precision, on the original vec
 best score. The code's score is off by the query's length times the length of the residual at most, which the index
 holds; every candidate that this bound lets reach the floor is scored exactly too, so none of the exact top k is lost,
 however many near copies a group has. Where many candidates stay open, one matrix product thins them first. A block's
-exact top k per query leaves the task, so nothing is joined back. Queries go through in blocks of at most QUERY_BLOCK
-(their vectors are broadcast: 64 dimensions make 4 MB); results of blocks are united.
+exact top k per query leaves the task, so nothing is joined back. Queries go through one block of about QUERY_BLOCK after
+the other: its vectors are broadcast (64 dimensions make 8 MB) and freed when its results are written, so neither the
+driver nor the plan grows with the number of queries.
 
 Defined cases: vectors that are null, of another length than most, zero, or hold null or non-finite components take no
-part; a query with fewer candidates gets them all; ties go to the smaller id; a repeated id is a candidate once per
-row; null ids take no part; extra columns are ignored; an empty table gives an empty table.
+part; a query with fewer candidates gets them all; ties go to the smaller id; rows that repeat an id (or are equal in
+all) are queries of their own, and candidates of each other; null ids take no part; extra columns are ignored, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliate.runtime import materialise
+from foliate.runtime import materialise, materialise_parts
 
 WIDTH, CODES = 2, 16
 QUERY_BLOCK = 16_384
 CANDIDATE_ROWS = 8_192
 MANY = 1 / 32  # share of open candidates from which a matrix product thins them
-INDEX = "id long, vector binary, code binary, error double"
+FOUND = "array<struct<score:double,id:long,row:long>>"
+INDEX = "row long, id long, vector binary, code binary, error double"
 
 
 def usable(vector: Column) -> Column:
@@ -130,12 +132,10 @@ def build_index(vectors: DataFrame, book: Codebook) -> DataFrame:
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             if batch.num_rows:
-                x = np.asarray(batch.column(1).flatten(), np.float64).reshape(batch.num_rows, -1)
+                x = np.asarray(batch.column(2).flatten(), np.float64).reshape(batch.num_rows, -1)
                 codes = book.encode(x)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([v.tobytes() for v in x.astype("<f8")], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(book.errors(x, codes))],
-                    ["id", "vector", "code", "error"],
-                )
+                packed = [pa.array([v.tobytes() for v in m], pa.binary()) for m in (x.astype("<f8"), codes)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed, pa.array(book.errors(x, codes))], ["row", "id", "vector", "code", "error"])
 
     return vectors.mapInArrow(run, INDEX)
 
@@ -147,18 +147,21 @@ def products(q: np.ndarray, x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -
 
 
 def scan(index: DataFrame, queries, book: Codebook, k: int, keep: int) -> DataFrame:
-    """query_id, found array<struct<score, id>>: exact top k of each block of candidates, for a broadcast query block."""
+    """query, found array<struct<score, id, row>>: exact top k of each task's candidates, for a broadcast block of queries.
 
-    def block(ids: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, qid: np.ndarray, q: np.ndarray, best: list) -> None:
+    Queries and candidates are rows (``query`` is the row of a query), so rows of one id stay apart.
+    """
+
+    def block(rows_: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, asking: np.ndarray, q: np.ndarray, best: list) -> None:
         step = max(1, (1 << 22) // max(len(ids), CANDIDATE_ROWS))  # 16 MB of scores at a time
         length = np.sqrt(np.einsum("nd,nd->n", x, x))
-        for s in range(0, len(qid), step):
-            part, part_ids = q[s : s + step], qid[s : s + step]
+        for s in range(0, len(asking), step):
+            part = q[s : s + step]
             tables = book.tables(part)
             scores = np.zeros((len(ids), len(part)), np.float32)
             for j in range(codes.shape[1]):
                 scores += tables[j][codes[:, j]]
-            own = (ids[:, None] == part_ids).T
+            own = rows_[None] == asking[s : s + step, None]
             scores = np.where(own, -np.inf, scores.T)
             size = np.sqrt(np.einsum("qd,qd->q", part, part))[:, None]
             # a floor under the k-th best score: of earlier blocks, and of the best by code
@@ -180,71 +183,78 @@ def scan(index: DataFrame, queries, book: Codebook, k: int, keep: int) -> DataFr
                 open_ &= ~(whole + off < floor[:, None])
             rows, cols = np.nonzero(open_)
             exact = products(part, x, rows, cols)
-            order = np.lexsort((ids[cols], -exact, rows))
+            order = np.lexsort((rows_[cols], ids[cols], -exact, rows))
             rows, cols, exact = rows[order], cols[order], exact[order]
             start = np.searchsorted(rows, np.arange(len(part)))
             end = np.append(start[1:], len(rows))
             for i in range(len(part)):
                 a, b = start[i], min(end[i], start[i] + k)
                 old = best[s + i]
-                new_score, new_id = exact[a:b], ids[cols[a:b]]
+                new = exact[a:b], ids[cols[a:b]], rows_[cols[a:b]]
                 if old is not None:
-                    new_score, new_id = np.append(old[0], new_score), np.append(old[1], new_id)
-                    pick = np.lexsort((new_id, -new_score))[:k]
-                    new_score, new_id = new_score[pick], new_id[pick]
-                best[s + i] = (new_score, new_id)
+                    new = tuple(np.append(*pair) for pair in zip(old, new))
+                    pick = np.lexsort((new[2], new[1], -new[0]))[:k]
+                    new = tuple(v[pick] for v in new)
+                best[s + i] = new
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = queries.value
-        best: list = [None] * len(qid)
+        asking, q = queries.value
+        best: list = [None] * len(asking)
         for batch in stream:
             for at in range(0, batch.num_rows, CANDIDATE_ROWS):
                 part = batch.slice(at, CANDIDATE_ROWS)
-                x = np.frombuffer(b"".join(part.column(1).to_pylist()), "<f8").reshape(part.num_rows, -1)
-                codes = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(part.num_rows, -1)
-                block(np.asarray(part.column(0)), x, codes, np.asarray(part.column(3)), qid, q, best)
+                x = np.frombuffer(b"".join(part.column(2).to_pylist()), "<f8").reshape(part.num_rows, -1)
+                codes = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                block(np.asarray(part.column(0)), np.asarray(part.column(1)), x, codes, np.asarray(part.column(4)), asking, q, best)
         have = [i for i, b in enumerate(best) if b is not None and len(b[0])]
         if have:
-            found = [[{"score": s, "id": v} for s, v in zip(best[i][0].tolist(), best[i][1].tolist())] for i in have]
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[have], pa.int64()), pa.array(found, kind)], ["query_id", "found"])
+            flat = [pa.array(np.concatenate([best[i][j] for i in have])) for j in range(3)]
+            ends = np.cumsum([0] + [len(best[i][0]) for i in have])
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["score", "id", "row"]))
+            yield pa.RecordBatch.from_arrays([pa.array(asking[have], pa.int64()), found], ["query", "found"])
 
-    return index.mapInArrow(run, "query_id long, found array<struct<score:double,id:long>>")
+    return index.mapInArrow(run, f"query long, found {FOUND}")
 
 
 def best_of(found: Column, k: int) -> Column:
-    """The k best of an array<struct<score, id>>: largest score, then smallest id."""
-    keyed = F.transform(found, lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id")))
+    """The k best of FOUND: largest score, then smallest id."""
+    keyed = F.transform(found, lambda x: F.struct((-x["score"]).alias("minus"), x["id"].alias("id"), x["row"].alias("row")))
     top = F.slice(F.sort_array(keyed), 1, k)
-    return F.transform(top, lambda x: F.struct((-x["minus"]).alias("score"), x["id"].alias("id")))
+    return F.transform(top, lambda x: F.struct((-x["minus"]).alias("score"), x["id"].alias("id"), x["row"].alias("row")))
 
 
 def search(
     vectors: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int = 20, keep: int = 64, sample: int = 8_192
 ) -> DataFrame:
     """query_id, rank, vec_id, score for each row that ``is_query`` selects, against all other rows."""
+    spark = vectors.sparkSession
     good = vectors.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     kept = good.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
     length = kept.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = length[0] if length else 1
-    kept = kept.filter(F.size("vector") == dim)
+    # a row's number stays what it is once it is written
+    kept = materialise(kept.filter(F.size("vector") == dim).withColumn("row", F.monotonically_increasing_id()))
     book = fit_codebook(kept.select("id", "vector"), dim, sample)
-    index = materialise(build_index(kept.select("id", "vector"), book))
-    asking = materialise(kept.filter("asks").select("id", "vector"))
-    count = asking.count()
-    n_blocks = max(1, -(-count // QUERY_BLOCK))
-    parts = []
-    spark = vectors.sparkSession
-    spare = 2 if n_blocks > 1 else 1  # hashed ids fill blocks unevenly
-    for b in range(n_blocks * spare):
-        rows = asking.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks * spare)) == b).select("id", "vector").distinct().collect()
-        if rows:
-            block = (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64))
-            parts.append(scan(index, spark.sparkContext.broadcast(block), book, k, keep))
-    empty = spark.createDataFrame([], "query_id long, found array<struct<score:double,id:long>>")
-    found = reduce(DataFrame.unionByName, parts or [empty])
-    # lists of tasks are merged in two steps, so no row gathers a list per task of a large scan
-    merged = found.withColumn("part", F.spark_partition_id() % 64).groupBy("query_id", "part").agg(best_of(F.flatten(F.collect_list("found")), k).alias("found"))
-    merged = merged.groupBy("query_id").agg(best_of(F.flatten(F.collect_list("found")), k).alias("found"))
-    top = merged.select("query_id", F.posexplode("found").alias("at", "hit"))
+    index = materialise(build_index(kept.select("row", "id", "vector"), book))
+    asking = kept.filter("asks").select("row", "vector")
+    n_blocks = -(-asking.count() // QUERY_BLOCK)
+    n_blocks *= 2 if n_blocks > 1 else 1  # hashed rows fill blocks unevenly
+
+    def parts() -> Iterator[DataFrame]:
+        """One block of queries after the other is sent out, scanned, written and freed."""
+        for b in range(n_blocks):
+            rows = asking.filter(F.pmod(F.xxhash64("row"), F.lit(n_blocks)) == b).collect()
+            if rows:
+                queries = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)))
+                found = scan(index, queries, book, k, keep)
+                # lists of tasks are merged in two steps, so no row gathers a list per task of a large scan
+                merged = found.groupBy("query", (F.spark_partition_id() % 64).alias("part")).agg(best_of(F.flatten(F.collect_list("found")), k).alias("found"))
+                yield merged.groupBy("query").agg(best_of(F.flatten(F.collect_list("found")), k).alias("found"))
+                queries.destroy()
+
+    merged = materialise_parts(spark, parts())
+    if merged is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    names = kept.filter("asks").select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    top = merged.join(names, "query").select("query_id", F.posexplode("found").alias("at", "hit"))
     return top.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))

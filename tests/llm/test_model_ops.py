@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -164,15 +165,33 @@ def test_nearest_inside_a_group_of_near_copies(spark):
     ids[2000:2100] = 40  # one id on a hundred rows, and on a query's
     x[2000:2100] = x[40]
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
-    got = {}
-    for r in ann.search(df, "vec_id", "embedding", (F.col("vec_id") % 100 == 0) | (F.col("vec_id") == 40)).collect():
-        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    found = ann.search(df, "vec_id", "embedding", (F.col("vec_id") % 100 == 0) | (F.col("vec_id") == 40)).collect()
     y = x.astype(np.float64)
-    assert set(got) == {int(i) for i in ids if i % 100 == 0 or i == 40}
-    for q, best in got.items():
+    want = Counter()
+    for q in np.flatnonzero((ids % 100 == 0) | (ids == 40)):  # each row of an id asks, and all other rows answer
         score = (y * y[q]).sum(1)
-        want = [int(ids[i]) for i in np.lexsort((ids, -score)) if ids[i] != q][:20]
-        assert [best[k] for k in range(1, 21)] == want
+        order = [i for i in np.lexsort((np.arange(6000), ids, -score)) if i != q][:20]
+        want.update((int(ids[q]), k + 1, int(ids[i]), score[i]) for k, i in enumerate(order))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in found) == want
+
+
+def test_rows_of_one_id_are_neighbours(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [0.25, 1.0]), (0, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter(map(tuple, ann.search(df, "vec_id", "embedding", F.col("vec_id") == 0).collect()))
+    one = [(0, 1, 0, 0.5), (0, 2, 0, 0.5), (0, 3, 1, 0.25)]
+    two = [(0, 1, 1, 0.625), (0, 2, 0, 0.5), (0, 3, 0, 0.5)]
+    assert got == Counter(one) + Counter(two) + Counter(two)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, sf):
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    rows = [(i, np.array(v, np.float64)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    want = exact_neighbours(np.array([i for i, _ in rows]), np.stack([v for _, v in rows]), 20)
+    hits = Counter((r.query_id, r.vec_id) for r in queries.op9_nearest(spark, f"/root/testdata/{sf}").collect())
+    assert sum(hits[q, v] for q, best in want.items() for v, _ in best) == 20 * len(want)
 
 
 def test_few_or_no_neighbours(spark):
