@@ -4,6 +4,8 @@ import hashlib
 import math
 import os
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -254,23 +256,77 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
-def test_grammar_reads_clauses():
+def plain_features(lexicon, text):
+    """The grammar by its rules, without automata: every word of every clause is looked at."""
+    insults = threats = 0.0
+    low = text.lower()
+    for clause in re.split("[.!?;\n]", low):
+        words = re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", clause)
+        found = []
+        for i, w in enumerate(words):
+            weight = max(((len(b), v) for b, v in lexicon.items() if w.startswith(b)), default=(0, 0.0))[1]
+            threat = any(words[max(0, i + 1 - n) : i + 1] == p for p in (re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)?", t) for t in toxicity.THREATS) if (n := len(p)))
+            if w in toxicity.TARGETS and found and found[-1][2] and i - found[-1][3] <= toxicity.TARGET_SCOPE:
+                found[-1][0] *= toxicity.TARGETED
+                found[-1][2] = False
+            if weight or threat:
+                factor = toxicity.NEGATED if any(x in toxicity.NEGATIONS for x in words[max(0, i - toxicity.NEGATION_SCOPE) : i]) else 1.0
+                factor *= toxicity.REPORTED if any(x in toxicity.REPORTS for x in words[:i]) else 1.0
+                near = any(x in toxicity.TARGETS for x in words[max(0, i - toxicity.TARGET_SCOPE) : i])
+                factor *= toxicity.TARGETED if near else 1.0
+                found.append([factor * (toxicity.THREAT_WEIGHT if threat else weight), threat, not near, i])
+        insults += sum(f[0] for f in found if not f[1])
+        threats += sum(f[0] for f in found if f[1])
+    return [math.log1p(2 * insults), math.log1p(2 * threats), math.log1p(1000 * (insults + threats) / (len(low) + 200))]
+
+
+def test_grammar_by_brute_force():
+    rnd = random.Random(6)
+    lexicon = {"lump": 2.0, "lumpen": 1.0, "klotz": 3.0, "gr\u00f6l": 0.5}
+    grammar = toxicity.Grammar(lexicon)
+    pool = "you not said i will kill hurt the a so lump Lumpenpack klotzig plump gr\u00f6len. nor he you! is; going to kill\n don't x9 hope die".split(" ")
+    for _ in range(3000):
+        text = " ".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 25)))
+        assert grammar.features(text) == pytest.approx(plain_features(lexicon, text)), text
+
+
+def test_grammar_weighs_contexts():
+    g = toxicity.Grammar({"lump": 2.0})
+    weight = lambda text: g.features(text)[0]
+    assert weight("he is not a lump today") < weight("that is a lump today") < weight("you are a lump today") == weight("a lump like you is")
+    assert 0 < weight("she said so, a lump") < weight("a lump, she said so") and g.features("no plump fruit") == [0, 0, 0]
+    assert weight("not so. A lump; they said") == weight("is so. A lump; they go")
+    assert g.features("i will kill it")[1] > 0 == g.features("i would kill it")[1]
+    assert g.features("i will  kill it")[1] == g.features("i will kill it")[1]
+
+
+def test_one_long_clause_takes_linear_time():
+    g = toxicity.Grammar({"lump": 2.0})
+
+    def seconds(n):
+        began = time.perf_counter()
+        g.features("i will kill you and a lump " * n)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 20 * max(seconds(4_000), 0.01)
+
+
+def test_transducers_compose_by_product():
     g = toxicity.Grammar({"lump": 2.0})
-    plain, targeted, negated, reported, threats, _, any_ = range(7)
-    assert g.features("Such a lump.")[plain] > 0
-    assert g.features("you silly lump.")[targeted] > 0
-    assert g.features("he is not a lump")[negated] > 0
-    assert g.features("she said he was a lump")[reported] > 0
-    f = g.features("not so. A lump; they said")
-    assert f[plain] > 0 and f[negated] == f[reported] == 0
-    assert g.features("i will kill you")[threats] > 0 and g.features("no plump fruit")[any_] == 0
-
-
-def test_transducer_is_total():
-    table = toxicity.compose()
-    states = {s for s, _ in table} | {t for t, _ in table.values()}
-    assert set(table) == {(s, k) for s in states for k in range(6)}
-    assert all((out is not None) == (k in (toxicity.INSULT, toxicity.THREAT)) for (_, k), (_, out) in table.items())
+    state = (0, 0, 0, 0)
+    after, threat, now, later = g.compose(state, toxicity.TARGET, -1)
+    after, threat, now, later = g.compose(after, toxicity.NEGATION, -1)
+    after, threat, now, later = g.compose(after, toxicity.INSULT, -1)
+    assert not threat and later == 1.0 and now == toxicity.TARGETED * toxicity.NEGATED
+    assert all(len(key[0]) == len(arc[0]) == 4 for key, arc in g.composed.items())
+
+
+def test_sample_is_bounded(spark):
+    rows, labels = labelled()
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    sample, clean_weight = toxicity.training_rows(docs.select("doc_id", "text"), marks, "doc_id", "text", 10, 20)
+    assert sample.filter("toxic = 1").count() <= 10 and sample.filter("toxic = 0").count() <= 20 and clean_weight > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
