@@ -1,4 +1,7 @@
-"""Connected components of a link table by alternating large-star and small-star steps; nothing reaches the driver."""
+"""Connected components of a link table by alternating large-star and small-star steps.
+
+Nothing reaches the driver but counts. A star's centre is a hot key; its rows stay where they are (``skew.meet``).
+"""
 
 from __future__ import annotations
 
@@ -6,19 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliate.runtime import discard, materialise
 
+from .skew import meet
+
 
 def large_star(edges: DataFrame) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+    return meet(both.filter("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    near = meet(down, least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -27,9 +32,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select("u", "v").filter("u <> v").distinct())
     seen = None
     while True:
-        step = small_star(large_star(edges)).filter("u <> v").distinct()
-        new = materialise(step)
+        large = materialise(large_star(edges).distinct())
+        new = materialise(small_star(large).filter("u <> v").distinct())
         discard(edges)
+        discard(large)
         edges = new
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:

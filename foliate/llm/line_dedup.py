@@ -3,8 +3,7 @@
 A line's key is the line stripped of ASCII white space and ASCII-lower-cased. A key of at least ``min_chars`` code
 points that occurs in at least ``min_docs`` documents loses its lines everywhere but in the document of smallest id.
 Lines are exploded and hashed once, into a table of 16-byte hashes and positions; the count and the join read that.
-Keys that hold more than one in HOT_KEYS of all lines (so they are fewer than that) are joined by broadcast, all others
-by shuffle, so no task gathers the lines of a hot key. Texts are shuffled once, when drop lists meet their documents.
+Hot keys are joined by broadcast, all others by shuffle (``skew.meet``), so no task gathers the lines of a hot key. Texts are shuffled once, when drop lists meet their documents.
 
 Defined cases: null or empty text is one empty line; a text of any length is read whole; rows of the same doc_id are one
 document (equal lines of its rows all stay or all go); a row with a null doc_id is counted for nothing and kept whole;
@@ -19,9 +18,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliate.functions.columns import bind, fresh
 from foliate.runtime import materialise
 
+from .skew import meet
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = "\t\n\x0b\x0c\r "
-HOT_KEYS = 10_000  # a broadcast of fewer than this many keys, 24 bytes each
 
 
 def stripped(line: Column) -> Column:
@@ -56,9 +56,7 @@ def drop_lists(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_
     """id, same -> sorted positions of the lines that the document loses."""
     lines = materialise(line_keys(docs, id_col, text_col, min_chars))
     keys = materialise(repeated_keys(lines, min_docs))
-    hot = F.col("n") * HOT_KEYS > lines.count()
-    parts = [lines.join(F.broadcast(keys.filter(hot)), "key"), lines.join(keys.filter(~hot), "key")]
-    lost = parts[0].unionByName(parts[1]).filter("id <> keeper")
+    lost = meet(lines, keys, ["key"], "n").filter("id <> keeper")
     return lost.groupBy("id", "same").agg(F.collect_set("at").alias("lost"))
 
 

@@ -34,12 +34,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliate.runtime import broadcast_if_small, discard, materialise
 
 from .components import components
+from .skew import meet
 
 KEYS = 4
 MIX = np.uint64([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93])
 FREQUENT, FREQUENT_KEPT = 64, 200_000  # n-grams that go last in the order: 1.6 MB at most
 HOT, BLOCK, BLOCK_CELLS, COLUMNS = 64, 2048, 2 << 20, 4096
 DENSE = 4  # surviving pairs per document from which a unit's whole sets are multiplied instead
+HOT_PAIRS, SALTS = 1000, 64  # a document that more than one in HOT_PAIRS of all pairs point to is sent to SALTS tasks
 IDS = 1_000_000  # ids are broadcast up to this count (8 MB)
 
 
@@ -123,7 +125,12 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
     whole = whole_sets(ids, docs, reps, words, percent)
     one = whole.select(F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("grams").alias("g_u"))
     two = whole.select(F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("grams").alias("g_v"))
-    both = pairs.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("g_u", "g_v")))
+    # many pairs may point to one v: its set goes to SALTS tasks, and the pairs by the hash of u
+    hot = pairs.groupBy("v").count().filter(F.col("count") * HOT_PAIRS > pairs.count()).select(F.col("v").alias("hot"))
+    hot = F.broadcast(hot)  # fewer than HOT_PAIRS ids
+    salted = pairs.join(hot, F.col("v") == F.col("hot"), "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int"))).drop("hot")
+    two = two.join(hot, F.col("v") == F.col("hot"), "left").withColumn("salt", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1))))).drop("hot")
+    both = salted.join(one, "u").join(two, ["v", "salt"]).withColumn("o", F.size(F.array_intersect("g_u", "g_v")))
     links = materialise(both.filter(F.col("o") * 100 >= percent * (F.col("n_u") + F.col("n_v") - F.col("o"))).select("u", "v"))
     for t in (pairs, ids, whole):
         discard(t)
@@ -132,8 +139,8 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, per
 
 def sure_pairs(reps: DataFrame, percent: int) -> DataFrame:
     keyed = reps.select("id", "n", F.posexplode("keys").alias("j", "key"))
-    pivots = keyed.groupBy("j", "key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("top")).filter("p.id <> top")
-    met = keyed.join(pivots.select("j", "key", F.col("p.id").alias("v"), F.col("p.n").alias("m")), ["j", "key"])
+    pivots = keyed.groupBy("j", "key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("top"), F.count("*").alias("size")).filter("p.id <> top")
+    met = meet(keyed, pivots.select("j", "key", F.col("p.id").alias("v"), F.col("p.n").alias("m"), "size"), ["j", "key"], "size")
     met = met.filter((F.col("id") > F.col("v")) & sizes_fit(F.col("n"), F.col("m"), percent))
     return met.groupBy(F.col("id").alias("u"), "v").count().filter("count >= 2").select("u", "v")
 
@@ -142,8 +149,8 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (a * percent <= b * 100) & (b * percent <= a * 100)
 
 
-def overlaps(sides: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Overlap counts of two blocks of n-gram lists; also the dense sides and the n-grams of their columns.
+def overlaps(sides: list[list[np.ndarray]]) -> np.ndarray:
+    """Overlap counts of two blocks of n-gram lists.
 
     Columns of more than HOT cells are multiplied densely, COLUMNS at a time; the others are added up cell by cell.
     """
@@ -153,23 +160,28 @@ def overlaps(sides: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray
     wide = grams[n > HOT]
     out = np.zeros([len(side) for side in sides], np.float32)
     dense, cells = [], []
-    for side, g, r in zip(sides, flat, rows):
+    for g, r in zip(flat, rows):
+        order = np.argsort(g, kind="stable")
+        g, r = g[order], r[order]
         place = np.minimum(np.searchsorted(wide, g), max(len(wide) - 1, 0))
         inside = wide[place] == g if len(wide) else np.zeros(len(g), bool)
-        matrix = np.zeros((len(side), len(wide)), np.float32)
-        matrix[r[inside], place[inside]] = 1
-        dense.append(matrix)
-        order = np.argsort(g[~inside], kind="stable")
-        cells.append((g[~inside][order], r[~inside][order]))
+        dense.append((place[inside], r[inside]))  # sorted by column
+        cells.append((g[~inside], r[~inside]))
     for at in range(0, len(wide), COLUMNS):
-        out += dense[0][:, at : at + COLUMNS] @ dense[1][:, at : at + COLUMNS].T
+        slices = []
+        for side, (place, r) in zip(sides, dense):
+            low, high = np.searchsorted(place, [at, at + COLUMNS])
+            matrix = np.zeros((len(side), min(COLUMNS, len(wide) - at)), np.float32)
+            matrix[r[low:high], place[low:high] - at] = 1
+            slices.append(matrix)
+        out += slices[0] @ slices[1].T
     (g1, r1), (g2, r2) = cells
     low, high = np.searchsorted(g2, g1, "left"), np.searchsorted(g2, g1, "right")
     for at in range(0, len(g1), 1 << 16):  # every cell of one side with its column's cells of the other
         n = (high - low)[at : at + (1 << 16)]
         start = np.repeat(low[at : at + (1 << 16)] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
         np.add.at(out, (np.repeat(r1[at : at + (1 << 16)], n), r2[start + np.arange(len(start))]), 1)
-    return out, dense, wide
+    return out
 
 
 def two_blocks(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -195,7 +207,7 @@ def block_pairs(units: DataFrame, percent: int) -> DataFrame:
         first, second = two_blocks(group)
         if not len(first) or not len(second):
             return pd.DataFrame({c: [] for c in ("u", "v", *unit)}, dtype="int64")
-        counts, _, _ = overlaps([list(first.grams), list(second.grams)])
+        counts = overlaps([list(first.grams), list(second.grams)])
         a, b, fit = may_link(first, second, percent)
         rest = [s.n.to_numpy() - s.columns_.to_numpy() for s in (first, second)]
         fit &= counts + np.maximum(rest[0][:, None], rest[1][None]) >= percent * (a + b) / (100 + percent) - 1e-3
@@ -226,7 +238,7 @@ def block_links(units: DataFrame, percent: int) -> DataFrame:
         first, second = two_blocks(group)
         if not len(first) or not len(second):
             return pd.DataFrame({"u": [], "v": []}, dtype="int64")
-        counts, _, _ = overlaps([list(first.grams), list(second.grams)])
+        counts = overlaps([list(first.grams), list(second.grams)])
         a, b, fit = may_link(first, second, percent)
         r, c = np.nonzero(fit & (counts * 100 >= percent * (a + b - counts)))
         ids = np.unique(np.concatenate([first.id.to_numpy(), second.id.to_numpy()]))
@@ -253,9 +265,15 @@ def candidate_pairs(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     only, and the join counts all of them.
     """
     cells = columns.select("id", "n", "component", F.explode("grams").alias("gram"))
-    live = cells.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"))
-    live = live.filter("a <> b").select("gram", "df", "size")
-    cells = materialise(cells.join(live, "gram"))
+    live = cells.groupBy("gram").agg(
+        F.count("*").alias("df"), F.sum("n").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"),
+        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
+    )
+    live = materialise(live.filter("a <> b").drop("a", "b"))
+    # hot columns of the same documents (as of long copies) are one: the first stands for all
+    alike = live.filter(F.col("df") > HOT).groupBy("df", "x", "y").agg(F.min("gram").alias("first"))
+    live = live.join(broadcast_if_small(alike, IDS), ["df", "x", "y"], "left").select("gram", "df", "size", F.col("df").alias("rows"), F.coalesce("first", "gram").alias("column"))
+    cells = materialise(meet(cells, live, ["gram"], "rows"))
     cold = cells.filter(F.col("df") <= HOT)
     one = cold.select("gram", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
     two = cold.select("gram", F.col("id").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
@@ -264,9 +282,8 @@ def candidate_pairs(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     beyond = F.greatest(*[F.expr(f"(({percent} * {n} + 99) div 100) - 1") for n in ("n_u", "n_v")])  # sizes less columns
     pairs = met.filter(F.col("c") + beyond >= needed(F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
     # hot columns: their documents in blocks (by count and by total size), every two blocks of a column a unit
-    warm = cells.groupBy("id", "n", "component").agg(
-        F.collect_list(F.when(F.col("df") > HOT, F.struct("gram", "df", "size"))).alias("cells"), F.collect_list("gram").alias("grams")
-    )
+    column = F.when((F.col("df") > HOT) & (F.col("gram") == F.col("column")), F.struct("gram", "df", "size"))
+    warm = cells.groupBy("id", "n", "component").agg(F.collect_list(column).alias("cells"), F.collect_list("gram").alias("grams"))
     rows = warm.filter(F.size("cells") > 0).withColumn("hot", F.transform("cells", lambda x: x["gram"]))
     rows = rows.withColumn("columns_", F.expr(f"n - (({percent} * n + 99) div 100) + 1"))
     blocks = F.greatest(F.ceil(F.col("cell.df") / F.lit(BLOCK)), F.ceil(F.col("cell.size") / F.lit(BLOCK_CELLS))).cast("int")
@@ -316,11 +333,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(full)
     known = base.filter("id is not null and n > 0")
     if not known.groupBy("id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).filter("a <> b").isEmpty():
-        member = of_repeated_ids(texts, words, percent)
-        out = base.select("id", "n").join(member, "id", "left")
-        return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+        return named(base, of_repeated_ids(texts, words, percent), id_col)
     unique = materialise(known.groupBy("id").agg(F.min(F.struct("sig", "n", "keys")).alias("x")).select("id", "x.*"))
-    classes = materialise(unique.groupBy("sig").agg(F.min("id").alias("rep")))
+    classes = materialise(unique.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("rows")))
     reps = materialise(unique.join(classes, [unique.sig == classes.sig, unique.id == classes.rep], "left_semi"))
     real = texts.filter("id is not null")
 
@@ -336,8 +351,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     stars = first.select(F.col("node").alias("u"), F.col("component").alias("v"))
     final = materialise(components(more.unionByName(stars)))
-    member = unique.select("id", "sig").join(classes, "sig").join(final, F.col("rep") == F.col("node"), "left")
     # a class's smallest id is its representative, so a component's smallest id is a representative's
-    member = member.select("id", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("id", "n").join(member, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    known = classes.join(final, F.col("rep") == F.col("node"), "left").select("sig", F.coalesce("component", "rep").alias("component_id"), "rows")
+    return named(base, meet(unique.select("id", "sig"), materialise(known), ["sig"], "rows").drop("sig"), id_col)
+
+
+def named(base: DataFrame, member: DataFrame, id_col: str) -> DataFrame:
+    """The result's rows. Null ids, which may be many, are no join key."""
+    out = base.filter("id is not null").join(member, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    out = out.unionByName(base.filter("id is null").select("id", "n", F.lit(None).cast("long").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliate.runtime import materialise
 
 from .copies import dealt, whole_row
+from .skew import meet
 
 BITS = 60
 STEP = 20  # depths that one round looks at
 CELLS = 1 << 20  # rows of a table of cells up to which it is broadcast (about 40 MB): all of a first round
-HOT = 10_000
 
 
 def bits(digest: Column) -> Column:
@@ -62,30 +62,18 @@ def leaves(sized: DataFrame, limit: int, group: list[str]) -> list[tuple[int, Da
         if high == BITS or rest.isEmpty():
             return [*rounds, (high, found, None)]
         rounds.append((high, found, rest))
-        going = meet(going.withColumn("cell", prefix(F.col("code"), high)), rest, [*group, "cell"]).drop("cell")
+        going = meet(going.withColumn("cell", prefix(F.col("code"), high)), rest, [*group, "cell"], "rows", CELLS).drop("cell")
         low = high
 
 
-def meet(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of rows with a table of unique keys ``on`` and how many ``rows`` each has.
-
-    A small table is broadcast. Of a large one, the keys that hold more than one in HOT of all rows are (so they are
-    fewer than HOT); no task gathers the rows of a hot key.
-    """
-    if table.limit(CELLS + 1).count() <= CELLS:
-        return rows.join(F.broadcast(table.drop("rows")), on)
-    hot = F.col("rows") * HOT > table.agg(F.sum("rows")).first()[0]
-    return rows.join(F.broadcast(table.filter(hot).drop("rows")), on).unionByName(rows.join(table.filter(~hot).drop("rows"), on))
-
-
 def place(rows: DataFrame, rounds: list, group: list[str]) -> DataFrame:
     """Adds depth, prefix and bytes of the leaf of ``code``: one join on a row's cell per round."""
     out = []
     for high, found, rest in rounds:
         rows = rows.withColumn("cell", prefix(F.col("code"), high))
-        out.append(meet(rows, found, [*group, "cell"]).drop("cell"))
+        out.append(meet(rows, found, [*group, "cell"], "rows", CELLS).drop("cell"))
         if rest is not None:
-            rows = meet(rows, rest, [*group, "cell"]).drop("cell")
+            rows = meet(rows, rest, [*group, "cell"], "rows", CELLS).drop("cell")
     return reduce(DataFrame.unionByName, out)
 
 
