@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 # The domain's terms, in their own spelling.
 DOMAIN_TERMS = (
-    "Old Mutual Insure Ltd Pty Payal Trading Projects Policyholder Details Address The Insured Physical Contact Work Tel Cell "
-    "Email Registration No VAT Number Business Description Retail Hire Plant Own Operator Intermediary Agency Risk Brokers Policy "
-    "Type Contract Monthly Period Insurance Original Inception Date Review Territorial Limits Republic South Africa Botswana "
-    "Eswatini Kingdoms Kingdom Lesotho Zimbabwe Republics Malawi Namibia Mozambique Payment Method Debit Order Strike Date Reason "
-    "For Issue Adding Geysers Authorised Signatory Signed At Printed By Application Version Endorsement Processed Page Of Company "
-    "Broker Agent Premium Schedule Cover Benefit Limit Amount Total Balance Account Bank Johannesburg Roodepoort Hadeda Crescent Pune"
-).split()
+    "Old", "Mutual", "Insure", "Ltd", "Pty", "Payal", "Trading", "Projects", "Policyholder", "Details", "Address", "The",
+    "Insured", "Physical", "Contact", "Work", "Tel", "Cell", "Email", "Registration", "No", "VAT", "Number", "Business",
+    "Description", "Retail", "Hire", "Plant", "Own", "Operator", "Intermediary", "Agency", "Risk", "Brokers", "Policy", "Type",
+    "Contract", "Monthly", "Period", "Insurance", "Original", "Inception", "Date", "Review", "Territorial", "Limits", "Republic",
+    "South", "Africa", "Botswana", "Eswatini", "Kingdoms", "Kingdom", "Lesotho", "Zimbabwe", "Republics", "Malawi", "Namibia",
+    "Mozambique", "Payment", "Method", "Debit", "Order", "Strike", "Date", "Reason", "For", "Issue", "Adding", "Geysers",
+    "Authorised", "Signatory", "Signed", "At", "Printed", "By", "Application", "Version", "Endorsement", "Processed", "Page",
+    "Of", "Company", "Broker", "Agent", "Premium", "Schedule", "Cover", "Benefit", "Limit", "Amount", "Total", "Balance",
+    "Account", "Bank", "Johannesburg", "Roodepoort", "Hadeda", "Crescent", "Pune",
+)
 # General words that count as real in the word-likeness test.
 GENERAL_WORDS = (
-    "the and for ltd inc company policy number date name address phone email fax vat registration office head branch insurance "
-    "insured insurer broker agent intermediary period premium schedule details contact signed signature printed version page "
-    "monthly annual republic south africa claim cover benefit limit amount total balance account bank payment method debit order "
-    "type contract renewal review inception territorial authorised authorized signatory behalf"
-).split()
+    "the", "and", "for", "ltd", "inc", "company", "policy", "number", "date", "name", "address", "phone", "email", "fax", "vat",
+    "registration", "office", "head", "branch", "insurance", "insured", "insurer", "broker", "agent", "intermediary", "period",
+    "premium", "schedule", "details", "contact", "signed", "signature", "printed", "version", "page", "monthly", "annual",
+    "republic", "south", "africa", "claim", "cover", "benefit", "limit", "amount", "total", "balance", "account", "bank",
+    "payment", "method", "debit", "order", "type", "contract", "renewal", "review", "inception", "territorial", "authorised",
+    "authorized", "signatory", "behalf",
+)
 # Misread tokens and their corrections.
 CORRECTIONS = {
     "cel": "Cell", "hinoewadi": "HINJEWADI", "e-mal": "E-mail", "emal": "E-mail", "e-mail": "E-mail", "lad": "Ltd",
@@ -55,39 +61,6 @@ FORMATS = {
     **{e: k for e, k in KINDS.items() if k not in ("docx", "doc") and e != "webm"}, "docx": "word", "doc": "word",
 }
 UPLOADS = ("pdf", "docx", "doc", "png", "jpg", "jpeg", "mp3", "wav", "m4a", "aac", "flac", "mp4", "avi", "mov", "mkv", "webm")
-# Fields by document type, ``name:format``, free text without a format, ``!`` required.
-FIELD_LINES = {
-    "life": (
-        "insured_name date_of_birth:date occupation postal_address physical_address cell_phone:phone email:email policy_number_broker "
-        "start_date_of_cover:date anniversary_date:date original_inception_date:date period_of_insurance total_premium:currency "
-        "payment_method co_insured_name insurer_name! insurer_phone:phone intermediary_name!"
-    ),
-    "car": (
-        "proposer_name proposer_address proposer_mobile:phone proposer_email:email policy_number previous_policy_number "
-        "registration_number vehicle_make vehicle_model vehicle_sub_type engine_number chassis_number year_of_manufacture:integer "
-        "vehicle_idv:currency total_idv:currency ncb_percent:percent policy_period_start:date policy_period_end:date "
-        "own_damage_premium:currency liability_premium:currency total_premium:currency final_premium:currency broker_name broker_code "
-        "customer_id"
-    ),
-    "travel": (
-        "master_policy_number certificate_number group_policyholder_name insured_name insured_age:integer insured_gender "
-        "insured_mobile:phone insured_email:email trip_start trip_end originating_station destination_station train_number train_name "
-        "pnr_number cover_death:currency cover_permanent_total_disability:currency cover_permanent_partial_disability:currency "
-        "cover_hospitalization_expenses:currency cover_transportation_mortal_remains:currency base_premium:currency igst:currency "
-        "total_premium:currency certificate_issue_date:date insurer_name gst_number pan_number"
-    ),
-    "health": (
-        "policy_number insurer_name proposer_name proposer_address proposer_mobile:phone proposer_email:email customer_code gstin "
-        "date_of_inception:date period_start:date period_end:date sum_insured:currency scheme_description base_premium:currency "
-        "stamp_duty:currency total_premium:currency intermediary_code intermediary_name insured_members nominee_name issuing_office"
-    ),
-    "property": (
-        "policy_number insurer_name insured_name insured_reg_number insured_vat_number postal_address business_description "
-        "endorsement_number first_inception_date:date effective_date:date anniversary_date:date period_of_insurance territorial_limits "
-        "master_policy_number broker_name broker_vat_number broker_fsp_number total_premium:currency broker_fee:currency "
-        "final_debit:currency payment_frequency narrative"
-    ),
-}
 REMOVED_FIELDS = ("policy_type", "policy_status")
 META_FIELD = "_extraction_meta"
 UNKNOWN = "Unknown"
@@ -100,15 +73,132 @@ class Field:
     required: bool = False
 
 
-def parse_fields(line: str) -> list[Field]:
-    out = []
-    for word in line.split():
-        name, _, kind = word.rstrip("!").partition(":")
-        out.append(Field(name, kind or "free_text", word.endswith("!")))
-    return out
-
-
-FIELDS: dict[str, list[Field]] = {kind: parse_fields(line) for kind, line in FIELD_LINES.items()}
+# Fields by document type, in order. Formats are those of functions/formats.py.
+FIELDS: dict[str, list[Field]] = {
+    "life": [
+        Field("insured_name"),
+        Field("date_of_birth", "date"),
+        Field("occupation"),
+        Field("postal_address"),
+        Field("physical_address"),
+        Field("cell_phone", "phone"),
+        Field("email", "email"),
+        Field("policy_number_broker"),
+        Field("start_date_of_cover", "date"),
+        Field("anniversary_date", "date"),
+        Field("original_inception_date", "date"),
+        Field("period_of_insurance"),
+        Field("total_premium", "currency"),
+        Field("payment_method"),
+        Field("co_insured_name"),
+        Field("insurer_name", required=True),
+        Field("insurer_phone", "phone"),
+        Field("intermediary_name", required=True),
+    ],
+    "car": [
+        Field("proposer_name"),
+        Field("proposer_address"),
+        Field("proposer_mobile", "phone"),
+        Field("proposer_email", "email"),
+        Field("policy_number"),
+        Field("previous_policy_number"),
+        Field("registration_number"),
+        Field("vehicle_make"),
+        Field("vehicle_model"),
+        Field("vehicle_sub_type"),
+        Field("engine_number"),
+        Field("chassis_number"),
+        Field("year_of_manufacture", "integer"),
+        Field("vehicle_idv", "currency"),
+        Field("total_idv", "currency"),
+        Field("ncb_percent", "percent"),
+        Field("policy_period_start", "date"),
+        Field("policy_period_end", "date"),
+        Field("own_damage_premium", "currency"),
+        Field("liability_premium", "currency"),
+        Field("total_premium", "currency"),
+        Field("final_premium", "currency"),
+        Field("broker_name"),
+        Field("broker_code"),
+        Field("customer_id"),
+    ],
+    "travel": [
+        Field("master_policy_number"),
+        Field("certificate_number"),
+        Field("group_policyholder_name"),
+        Field("insured_name"),
+        Field("insured_age", "integer"),
+        Field("insured_gender"),
+        Field("insured_mobile", "phone"),
+        Field("insured_email", "email"),
+        Field("trip_start"),
+        Field("trip_end"),
+        Field("originating_station"),
+        Field("destination_station"),
+        Field("train_number"),
+        Field("train_name"),
+        Field("pnr_number"),
+        Field("cover_death", "currency"),
+        Field("cover_permanent_total_disability", "currency"),
+        Field("cover_permanent_partial_disability", "currency"),
+        Field("cover_hospitalization_expenses", "currency"),
+        Field("cover_transportation_mortal_remains", "currency"),
+        Field("base_premium", "currency"),
+        Field("igst", "currency"),
+        Field("total_premium", "currency"),
+        Field("certificate_issue_date", "date"),
+        Field("insurer_name"),
+        Field("gst_number"),
+        Field("pan_number"),
+    ],
+    "health": [
+        Field("policy_number"),
+        Field("insurer_name"),
+        Field("proposer_name"),
+        Field("proposer_address"),
+        Field("proposer_mobile", "phone"),
+        Field("proposer_email", "email"),
+        Field("customer_code"),
+        Field("gstin"),
+        Field("date_of_inception", "date"),
+        Field("period_start", "date"),
+        Field("period_end", "date"),
+        Field("sum_insured", "currency"),
+        Field("scheme_description"),
+        Field("base_premium", "currency"),
+        Field("stamp_duty", "currency"),
+        Field("total_premium", "currency"),
+        Field("intermediary_code"),
+        Field("intermediary_name"),
+        Field("insured_members"),
+        Field("nominee_name"),
+        Field("issuing_office"),
+    ],
+    "property": [
+        Field("policy_number"),
+        Field("insurer_name"),
+        Field("insured_name"),
+        Field("insured_reg_number"),
+        Field("insured_vat_number"),
+        Field("postal_address"),
+        Field("business_description"),
+        Field("endorsement_number"),
+        Field("first_inception_date", "date"),
+        Field("effective_date", "date"),
+        Field("anniversary_date", "date"),
+        Field("period_of_insurance"),
+        Field("territorial_limits"),
+        Field("master_policy_number"),
+        Field("broker_name"),
+        Field("broker_vat_number"),
+        Field("broker_fsp_number"),
+        Field("total_premium", "currency"),
+        Field("broker_fee", "currency"),
+        Field("final_debit", "currency"),
+        Field("payment_frequency"),
+        Field("narrative"),
+    ],
+}
 
 
 @dataclass(frozen=True)
@@ -121,8 +211,8 @@ class CleanConfig:
     text_similarity: float = 80.0
     snap_similarity: float = 75.0
     band_px: float = 5.0
-    terms: tuple[str, ...] = tuple(DOMAIN_TERMS)
-    words: tuple[str, ...] = tuple(GENERAL_WORDS)
+    terms: tuple[str, ...] = DOMAIN_TERMS
+    words: tuple[str, ...] = GENERAL_WORDS
 
     def dictionary(self) -> dict[str, str]:
         """Lower case -> own spelling, in order of first mention; a later spelling of the same term wins."""
@@ -130,3 +220,19 @@ class CleanConfig:
 
     def real_words(self) -> list[str]:
         return sorted({*self.words, *self.dictionary()})
+
+
+def load_env(paths: tuple[str, ...], environ: dict[str, str] = os.environ) -> str | None:
+    """Reads NAME=value lines of the first of ``paths`` that exists into ``environ``, over what is there; says which it was.
+
+    Blank lines and comments are skipped, quotes around a value go. The driver reads it; jobs pass what executors need.
+    """
+    for path in paths:
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8") as lines:
+                for line in lines:
+                    name, sign, value = line.strip().removeprefix("export ").partition("=")
+                    if sign and not name.startswith("#"):
+                        environ[name.strip()] = value.strip().strip("'\"")
+            return path
+    return None

@@ -1,4 +1,4 @@
-"""Structural similarity of grey frames (0 to 255, equal shape). Cropping and scaling belong to the decoding provider."""
+"""Structural similarity of grey frames (0 to 255, equal shape), and scaling. Cropping belongs to the decoding provider."""
 
 from __future__ import annotations
 
@@ -25,3 +25,14 @@ def ssim(a: np.ndarray, b: np.ndarray) -> float:
     ma, mb = blur(a), blur(b)
     va, vb, cov = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
     return float(((2 * ma * mb + C1) * (2 * cov + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))).mean())
+
+
+def resize(image: np.ndarray, side: int) -> np.ndarray:
+    """A square of ``side`` pixels by bilinear interpolation between pixel centres, rounded to bytes."""
+    for axis in (0, 1):
+        n = image.shape[axis]
+        at = np.clip((np.arange(side) + 0.5) * n / side - 0.5, 0, n - 1)
+        low = np.minimum(at.astype(int), max(n - 2, 0))
+        part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        image = np.take(image, low, axis) * (1 - part) + np.take(image, np.minimum(low + 1, n - 1), axis) * part
+    return np.rint(image).astype(np.uint8)

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 #: What Python's str.strip() and \\s take as white space.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 FOREIGN = re.compile(r"[^\x00-\x7f]+")
+# Fixed value: a date of numbers.
 DATE = r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})\b"
 
 
@@ -24,10 +25,14 @@ def collapse_whitespace(text: Column) -> Column:
     return F.regexp_replace(strip(text), rf"{SPACE}+", " ")
 
 
+# Marks that are noise before a text, and marks that are written once at its end.
+LEADING, ENDING = r"[:\-•·●▪]", r"[.,;:!?]"
+
+
 def strip_edge_noise(text: Column) -> Column:
     """Without leading bullets, colons and dashes; a repeated final mark once."""
-    bare = F.regexp_replace(text, rf"^(?:[:\-•·●▪]|{SPACE})+", "")
-    return strip(F.regexp_replace(bare, r"([.,;:!?])\1+(?=\n?\z)", "$1"))
+    bare = F.regexp_replace(text, rf"^(?:{LEADING}|{SPACE})+", "")
+    return strip(F.regexp_replace(bare, rf"({ENDING})\1+(?=\n?\z)", "$1"))
 
 
 def normalise_dates(text: Column) -> Column:
@@ -69,6 +74,11 @@ def symbol_only(text: Column) -> Column:
     return (bare == "") | bare.rlike(r"^[^A-Za-z0-9]{1,2}\z")
 
 
+def colour_band(percent: Column) -> Column:
+    """Colour of an accuracy's bar."""
+    return F.when(percent >= 80, "high").when(percent >= 55, "mid").otherwise("low")
+
+
 def confidence_tier(confidence: Column, high: float = 0.90, medium: float = 0.70) -> Column:
     return F.when(confidence >= high, "high").when(confidence >= medium, "medium").otherwise("low")
 

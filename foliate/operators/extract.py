@@ -96,6 +96,35 @@ def validate_mixed(rows: DataFrame, type_col: str = "doc_type", record_col: str
     return rows.withColumn("status", F.when(F.col("extracted").isNull(), "failed").otherwise("success"))
 
 
+def prompt_template(doc_type: str) -> str:
+    """The prompt of a type, made from its fields; doubled braces stand for single ones, ``{document_text}`` for the text."""
+    keys = ",\n".join(f'  "{f.name}": ""' for f in FIELDS[doc_type])
+    kinds = {"date": "dates as dd/mm/yyyy", "currency": "amounts as they are written", "phone": "phone numbers with all digits"}
+    used = [text for kind, text in kinds.items() if any(f.format == kind for f in FIELDS[doc_type])]
+    return (
+        f"Extract the fields of this {doc_type} insurance document. Answer with one JSON object of these keys and nothing else;\n"
+        f"values are strings, empty where the document does not say. Write {', '.join([*used, 'names in full'])}.\n"
+        f"{{{{\n{keys}\n}}}}\n\nDocument:\n{{document_text}}"
+    )
+
+
+SYSTEM_PROMPT = "You extract fields from insurance documents and answer in JSON."
+PROMPTED = ("life", "car", "travel", "health")  # property documents have fields but no prompt
+
+
+def prompt_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(kind, prompt_template(kind)) for kind in PROMPTED], "doc_type string, template string")
+
+
+def with_prompts(rows: DataFrame, type_col: str = "doc_type", text_col: str = "text") -> DataFrame:
+    """Adds ``prompt`` and ``status``: ready, or failed for a type without a prompt (the prompt is null then)."""
+    prompt = F.lit(None).cast("string")
+    for kind in PROMPTED:
+        prompt = F.when(F.col(type_col) == kind, fill_prompt(prompt_template(kind), F.col(text_col))).otherwise(prompt)
+    rows = rows.withColumn("prompt", prompt)
+    return rows.withColumn("status", F.when(F.col("prompt").isNull(), "failed").otherwise("ready"))
+
+
 def fill_prompt(template: str, text: Column) -> Column:
     """A prompt template with ``{document_text}``; doubled braces stand for single ones."""
     head, _, tail = template.partition("{document_text}")

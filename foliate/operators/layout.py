@@ -1,20 +1,25 @@
 """Layout: word merge, label/value pairing, wrapped lines, reading order, document text.
 
-The three greedy merges depend on the order of their own results and run as one grouped map per page (a page's blocks
+The three greedy merges depend on the order of their own results and run page by page over Arrow batches (a page's blocks
 are bounded by what fits on a page); everything else is native.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T, Window
+from pyspark.sql.pandas.types import to_arrow_schema
 
 PAGE = ["doc_id", "page_number"]
+BATCH_ROWS = 10_000
+# Fixed value: what counts as a label before a value.
 LABEL_PREFIX = re.compile(r"^\s*(?::?\s*[A-Za-z\s\-]+:\s*)")
-MERGED = "doc_id long, page_number int, block_idx int, source string, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
+MERGED = "doc_id {kind}, page_number int, block_idx int, source string, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
 
 
 def polygon_boxes(words: DataFrame) -> DataFrame:
@@ -24,51 +29,101 @@ def polygon_boxes(words: DataFrame) -> DataFrame:
     return words.filter(F.size("vertices") >= 2).withColumns({k: v.cast("double") for k, v in sides.items()})
 
 
-def assign_lines(centre: np.ndarray, height: np.ndarray) -> np.ndarray:
-    """Line of each word, words taken by y-centre: the first line whose mean centre is near enough, else a new one."""
-    line = np.empty(len(centre), int)
-    sums = np.zeros((0, 3))  # centres, heights, count
-    for i in np.argsort(centre, kind="stable"):
-        mean = sums[:, :2] / sums[:, 2:]
-        near = np.flatnonzero(np.abs(centre[i] - mean[:, 0]) <= np.maximum(6.0, mean[:, 1] * 0.45))
-        if len(near):
-            line[i] = near[0]
+def by_page(rows: DataFrame, merge: Callable[[dict[str, list]], dict[str, list]], schema: T.StructType) -> DataFrame:
+    """Runs ``merge`` on the columns (as lists) of each page's rows in list order; it gives the columns of ``schema``.
+
+    Pages are dealt by their key and streamed in sorted order, so a batch holds many pages and only one page is kept whole.
+    """
+    names = rows.columns
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        out: dict[str, list] = {f.name: [] for f in schema}
+
+        def emit() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
+            for values in out.values():
+                values.clear()
+            return batch
+
+        def close(page: dict[str, list]) -> None:
+            for name, values in merge(page).items():
+                out[name] += values
+
+        page, key = {n: [] for n in names}, None
+        for batch in stream:
+            columns = [c.to_pylist() for c in batch.columns]
+            keys = list(zip(*(columns[names.index(c)] for c in PAGE)))
+            start = 0
+            for end in [*(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]:
+                if end > start:
+                    if key != keys[start] and page[names[0]]:
+                        close(page)
+                        page = {n: [] for n in names}
+                    key = keys[start]
+                    for name, values in zip(names, columns):
+                        page[name] += values[start:end]
+                    start = end
+            if len(out["text"]) >= BATCH_ROWS:
+                yield emit()
+        if page[names[0]]:
+            close(page)
+        yield emit()
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, "block_idx").mapInArrow(run, schema)
+
+
+def assign_lines(centre: list[float], height: list[float]) -> list[list[int]]:
+    """Lines of words, taken by y-centre: a word joins the first line whose mean centre is near enough, else opens one.
+
+    Words come in ascending order, so a line that is too far above once is never near again and is looked at no more.
+    """
+    lines: list[list[int]] = []
+    open_: list[list] = []  # sum of centres, of heights, words
+    for i in sorted(range(len(centre)), key=centre.__getitem__):
+        c = centre[i]
+        open_ = [x for x in open_ if abs(c - x[0] / len(x[2])) <= max(6.0, x[1] / len(x[2]) * 0.45)]
+        if open_:
+            line = open_[0]
         else:
-            line[i] = len(sums)
-            sums = np.vstack([sums, np.zeros(3)])
-        sums[line[i]] += (centre[i], height[i], 1)
-    return line
-
-
-def _merge_words(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values("block_idx", kind="stable").reset_index(drop=True)
-    centre = ((page.y0 + page.y1) / 2).to_numpy()
-    page["line"] = assign_lines(centre, (page.y1 - page.y0).to_numpy())
-    page["centre"] = centre
+            line = [0.0, 0.0, []]
+            open_.append(line)
+            lines.append(line[2])
+        line[0] += c
+        line[1] += height[i]
+        line[2].append(i)
+    return lines
+
+
+def merge_page(page: dict[str, list]) -> dict[str, list]:
+    """Words of a page in list order -> runs of words."""
+    x0, y0, x1, y1, texts, sure = (page[c] for c in ("x0", "y0", "x1", "y1", "text", "confidence"))
+    centre = [(a + b) / 2 for a, b in zip(y0, y1)]
     runs = []
-    for _, line in page.sort_values(["line", "x0", "centre"], kind="stable").groupby("line", sort=True):
+    for line in assign_lines(centre, [b - a for a, b in zip(y0, y1)]):
         box = None
-        for text, x0, y0, x1, y1, sure in line[["text", "x0", "y0", "x1", "y1", "confidence"]].itertuples(index=False):
-            if box is not None and x0 - box[2] <= 2.5 * ((y1 - y0) + (box[3] - box[1])) / 2:
-                box[:] = min(box[0], x0), min(box[1], y0), max(box[2], x1), max(box[3], y1)
-                texts.append(text)
-                trust.append(sure)
+        for i in sorted(line, key=lambda i: (x0[i], centre[i])):
+            if box is not None and x0[i] - box[2] <= 2.5 * ((y1[i] - y0[i]) + (box[3] - box[1])) / 2:
+                box[:] = min(box[0], x0[i]), min(box[1], y0[i]), max(box[2], x1[i]), max(box[3], y1[i])
+                inside.append(i)
             else:
-                box, texts, trust = [x0, y0, x1, y1], [text], [sure]
-                runs.append((box, texts, trust))
-    rows = [(" ".join(t), *map(float, map(int, b)), sum(c) / len(c)) for b, t, c in runs]
-    out = pd.DataFrame(rows, columns=["text", "x0", "y0", "x1", "y1", "confidence"])
-    out["mid"] = (out.y0 + out.y1) / 2
-    out = out.sort_values(["mid", "x0"], kind="stable").reset_index(drop=True)
-    return pd.DataFrame(
-        {"doc_id": page.doc_id.iat[0], "page_number": page.page_number.iat[0], "block_idx": out.index.astype("int32"), "source": "ocr",
-         **{c: out[c] for c in ("text", "x0", "y0", "x1", "y1", "confidence")}}
-    )
+                box, inside = [x0[i], y0[i], x1[i], y1[i]], [i]
+                runs.append((box, inside))
+    rows = [([float(int(v)) for v in box], inside) for box, inside in runs]
+    rows.sort(key=lambda r: ((r[0][1] + r[0][3]) / 2, r[0][0]))
+    n = len(rows)
+    return {
+        "doc_id": page["doc_id"][:1] * n, "page_number": page["page_number"][:1] * n, "block_idx": list(range(n)), "source": ["ocr"] * n,
+        "text": [" ".join(texts[i] for i in inside) for _, inside in rows], **{c: [box[k] for box, _ in rows] for k, c in enumerate(("x0", "y0", "x1", "y1"))},
+        "confidence": [sum(sure[i] for i in inside) / len(inside) for _, inside in rows],
+    }
 
 
 def merge_words(words: DataFrame) -> DataFrame:
     """OCR words with boxes -> horizontal runs, by y-centre and x0. Gaps of up to 2.5 mean heights are bridged."""
-    return words.groupBy(*PAGE).applyInPandas(lambda page: _merge_words(page), MERGED)
+    kind = words.schema["doc_id"].dataType.simpleString()
+    columns = words.select(*PAGE, "block_idx", "text", "x0", "y0", "x1", "y1", "confidence")
+    return by_page(columns, merge_page, T.StructType.fromDDL(MERGED.format(kind=kind)))
 
 
 def pair_page(x0, y0, x1, y1, texts: list[str], tolerance: float) -> tuple[list[str], np.ndarray]:
@@ -92,12 +147,11 @@ def pair_page(x0, y0, x1, y1, texts: list[str], tolerance: float) -> tuple[list[
 def pair_labels(blocks: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Attaches to each block that ends with a colon all free blocks to its right on the same row."""
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("block_idx", kind="stable")
-        texts, left = pair_page(page.x0, page.y0, page.x1, page.y1, page.text.tolist(), tolerance)
-        return page.assign(text=texts)[left]
+    def pair(page: dict[str, list]) -> dict[str, list]:
+        texts, left = pair_page(page["x0"], page["y0"], page["x1"], page["y1"], page["text"], tolerance)
+        return {c: list(compress(v, left)) for c, v in (page | {"text": texts}).items()}
 
-    return blocks.groupBy(*PAGE).applyInPandas(run, blocks.schema)
+    return by_page(blocks, pair, blocks.schema)
 
 
 def wrap_groups(x0, y0, x1, y1, texts: list[str]) -> np.ndarray:
@@ -135,13 +189,11 @@ def wrap_groups(x0, y0, x1, y1, texts: list[str]) -> np.ndarray:
 
 def merge_wrapped(blocks: DataFrame) -> DataFrame:
     """Merges wrapped lines: joined text, mean confidence, box of the first; differing sources become ``mixed``."""
-    fields = ", ".join(f"`{n}` {t}" for n, t in blocks.dtypes)
 
-    def number(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("block_idx", kind="stable")
-        return page.assign(group=wrap_groups(page.x0, page.y0, page.x1, page.y1, page.text.tolist()).astype("int32"))
+    def number(page: dict[str, list]) -> dict[str, list]:
+        return page | {"group": wrap_groups(page["x0"], page["y0"], page["x1"], page["y1"], page["text"]).tolist()}
 
-    return reduce_groups(blocks.groupBy(*PAGE).applyInPandas(number, f"{fields}, group int"))
+    return reduce_groups(by_page(blocks, number, T.StructType([*blocks.schema.fields, T.StructField("group", T.IntegerType())])))
 
 
 def reduce_groups(numbered: DataFrame) -> DataFrame:
@@ -160,23 +212,22 @@ def reduce_groups(numbered: DataFrame) -> DataFrame:
 
 def reading_order(blocks: DataFrame, band_px: float = 5.0) -> DataFrame:
     """Adds ``band`` and ``position``: bands are anchored at their first block's y0; inside a band by x0."""
-    page = blocks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "block_idx"))).alias("in_y"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("band"), F.array().cast("array<int>").alias("bands"))
-
-    def step(acc, b):
-        opens = acc["anchor"].isNull() | (b["y0"] - acc["anchor"] > band_px)
-        band = acc["band"] + F.when(opens, 1).otherwise(0)
-        return F.struct(
-            F.when(opens, b["y0"]).otherwise(acc["anchor"]).alias("anchor"), band.alias("band"),
-            F.concat(acc["bands"], F.array(band)).alias("bands"),
-        )
-
-    bands = page.withColumn("bands", F.aggregate("in_y", start, step, lambda acc: acc["bands"]))
-    pairs = F.transform(F.arrays_zip("in_y", "bands"), lambda z: F.struct(z["in_y"]["block_idx"].alias("block_idx"), z["bands"].alias("band")))
-    ranked = bands.select(*PAGE, F.posexplode(pairs).alias("y_rank", "b")).select(*PAGE, "y_rank", "b.block_idx", "b.band")
-    inside = Window.partitionBy(*PAGE).orderBy("band", "x0", "y_rank")
-    joined = blocks.join(ranked, [*PAGE, "block_idx"])
-    return joined.withColumn("position", F.row_number().over(inside) - 1).drop("y_rank")
+    in_y = F.array_sort(F.collect_set(F.col("y0")))
+    page = blocks.groupBy(*PAGE).agg(in_y.alias("heights"))
+    none = F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<double>").alias("anchors"))
+
+    def step(acc, y):  # copies the anchors so far where a band opens only
+        opens = acc["anchor"].isNull() | (y - acc["anchor"] > band_px)
+        return F.when(opens, F.struct(y.alias("anchor"), F.concat(acc["anchors"], F.array(y)).alias("anchors"))).otherwise(acc)
+
+    bands = page.select(*PAGE, F.posexplode(F.aggregate("heights", none, step, lambda acc: acc["anchors"])).alias("band", "anchor"))
+    # a block's band is that of the last anchor at its height or above: anchors join the blocks' order as rows of their own
+    marks = bands.select(*PAGE, F.col("anchor").alias("y0"), F.col("band").alias("__band"))
+    merged = blocks.unionByName(marks, allowMissingColumns=True)
+    above = Window.partitionBy(*PAGE).orderBy("y0", F.col("__band").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = merged.withColumn("band", F.max("__band").over(above)).filter("__band is null").drop("__band")
+    inside = Window.partitionBy(*PAGE).orderBy("band", "x0", "y0", "block_idx")
+    return placed.withColumn("position", F.row_number().over(inside) - 1)
 
 
 def document_text(ordered: DataFrame) -> DataFrame:

@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
+from foliate.functions.frames import resize, ssim
 from foliate.functions.similarity import ratio_of
+from foliate.functions.text import strip
 
 STRIDE_S, SAME, CHANGED, TEXT_SAME, TIME_PX = 2, 0.90, 0.85, 95.0, 10_000.0
+FRAME_SIDE = 256
 GATED = "video_id long, t long, ssim double, text string, zone string, kept boolean"
 
 
+def frame_similarity(frames: DataFrame) -> DataFrame:
+    """video_id, t, height, width, pixels (grey bytes) -> video_id, t, ssim to the previous sample (null for the first).
+
+    Frames are scaled to FRAME_SIDE before they travel, so a row is 64 KB whatever the film's size. Cropping to the
+    slide's edges needs a decoder's library and belongs to the provider.
+    """
+
+    def scale(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            shapes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            small = [resize(np.frombuffer(p, np.uint8).reshape(h, w), FRAME_SIDE).tobytes() for h, w, p in shapes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["video_id", "t", "pixels"])
+
+    def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square = lambda p: np.frombuffer(p, np.uint8).reshape(FRAME_SIDE, FRAME_SIDE)
+        for batch in stream:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            scores = [None if b is None else ssim(square(b), square(a)) for a, b in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["video_id", "t", "ssim"])
+
+    small = frames.select("video_id", "t", "height", "width", "pixels").mapInArrow(scale, "video_id long, t long, pixels binary")
+    before = F.lag("pixels").over(Window.partitionBy("video_id").orderBy("t"))
+    return small.withColumn("before", before).mapInArrow(compare, "video_id long, t long, ssim double")
+
+
 def sample_times(videos: DataFrame) -> DataFrame:
     """video_id, fps, total_frames -> video_id, t, frame_idx: every second second, as long as there is a frame."""
     good = videos.filter("fps > 0 and total_frames > 0")
@@ -63,7 +95,7 @@ def speech_confidence(avg_logprob: Column) -> Column:
 
 def speech_blocks(segments: DataFrame) -> DataFrame:
     """doc_id, idx, text, start, end, avg_logprob -> audio blocks; empty segments go."""
-    text = F.btrim("text")
+    text = strip(F.col("text"))
     return segments.filter(text != "").select(
         "doc_id", F.lit(1).alias("page_number"), F.col("idx").alias("block_idx"), F.lit("audio").alias("source"), text.alias("text"),
         F.col("start").alias("x0"), F.lit(0.0).alias("y0"), F.col("end").alias("x1"), F.lit(0.0).alias("y1"),
@@ -77,7 +109,7 @@ def on_time_line(blocks: DataFrame, seconds: Column) -> DataFrame:
 
 
 def merge_branches(frames: DataFrame | None, speech: DataFrame | None, mode: str = "both") -> DataFrame:
-    """Frames and speech in one order by y0; frames first on ties. A branch that failed may be None."""
+    """Frames and speech in one order by y0; frames first on ties. A branch that failed may be None (see ``branch_errors``)."""
     if mode not in ("frames", "audio", "both"):
         raise ValueError(f"unknown extraction mode {mode!r}")
     parts = [(0, frames if mode != "audio" else None), (1, speech if mode != "frames" else None)]
@@ -87,3 +119,13 @@ def merge_branches(frames: DataFrame | None, speech: DataFrame | None, mode: str
     both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     over = Window.partitionBy("doc_id").orderBy("y0", "branch", "block_idx")
     return both.withColumn("position", F.row_number().over(over) - 1)
+
+
+def branch_errors(frames_error: str | None, speech_error: str | None, mode: str = "both") -> dict[str, str]:
+    """What went wrong by branch. One failed branch leaves partial output; if all that were asked for failed, it raises."""
+    asked = {"frames": frames_error, "audio": speech_error}
+    asked = {k: v for k, v in asked.items() if mode in (k, "both")}
+    failed = {k: v for k, v in asked.items() if v}
+    if asked and len(failed) == len(asked):
+        raise RuntimeError("; ".join(f"{k}: {v}" for k, v in failed.items()))
+    return failed

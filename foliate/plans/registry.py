@@ -224,31 +224,13 @@ def x15_parse_replies(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("key", F.col("m").isNotNull().alias("parsed"), *[F.element_at("m", c).alias(c) for c in ("insurer_name", "total_premium", "junk")], F.size(F.map_keys("m")).alias("n_keys"))
 
 
-@query(
-    f"""with {fx.CLASSED} select doc_id, case list_extract([1, 2, 3, 4, 5, 6, 7], (doc_id % 7 + 1)::int)
-        when 1 then 'travel' when 2 then 'car' when 3 then 'health' when 4 then 'property' when 5 then 'life' else '' end as hit,
-        case when doc_id % 7 > 4 then '' when doc_id % 14 < 7 then hit
-             when length(text) // 2 is not null and contains(lower(left(text, 6000)), lower(list_extract({list(fx.PHRASES)!r}, (doc_id % 7 + 1)::int))) then hit
-             else null end as doc_type from classed"""
-)
-def x19_keyword_class(spark: SparkSession, sf: str) -> DataFrame:
-    kind = classify.keyword_type(F.col("text"))
-    hits = F.get(F.array(*map(F.lit, ["travel", "car", "health", "property", "life", "", ""])), (F.col("doc_id") % 7).cast("int"))
-    rows = fx.classed(spark, sf).withColumn("doc_type", kind)
-    # a phrase that the limit cuts in two is left open in the SQL
-    phrase = F.lower(F.get(F.array(*map(F.lit, fx.PHRASES)), (F.col("doc_id") % 7).cast("int")))
-    seen = F.contains(F.lower(F.substring("text", 1, 6000)), phrase)
-    return rows.select("doc_id", hits.alias("hit"), F.when((F.col("doc_id") % 14 < 7) | (F.col("doc_id") % 7 > 4) | seen, F.col("doc_type")).alias("doc_type"))
-
-
 SQL_KEYWORDS = " ".join(
     f"when {' + '.join(f'regexp_matches(low, $${p}$$)::int' for p in patterns)} >= {needed} then '{kind}'" for kind, needed, patterns in CLASS_RULES
 )
 
 
 @query(f"with {fx.CLASSED}, lowered as (select doc_id, lower(left(text, {CLASSIFY_CHARS})) as low from classed) select doc_id, case {SQL_KEYWORDS} else '' end as doc_type from lowered")
-def x19_keyword_class_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The verdict of every row; x19_keyword_class leaves some open, as its SQL does."""
+def x19_keyword_class(spark: SparkSession, sf: str) -> DataFrame:
     return fx.classed(spark, sf).select("doc_id", classify.keyword_type(F.col("text")).alias("doc_type"))
 
 
@@ -272,7 +254,7 @@ def x24_names_and_bands(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("o_totalprice") % 100
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("key"), routing.safe_model_name(F.concat(F.lit("org/model-"), F.col("o_orderkey").cast("string"))).alias("tag"),
-        F.when(p >= 80, "high").when(p >= 55, "mid").otherwise("low").alias("bar"), F.substring("o_orderpriority", 1, 4).alias("head"),
+        X.colour_band(p).alias("bar"), F.substring("o_orderpriority", 1, 4).alias("head"),
     )
 
 
@@ -490,8 +472,8 @@ def a7_accuracy_totals(spark: SparkSession, sf: str) -> DataFrame:
 def a11_totals_by_run(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of three appended runs, the second of them twice: totals add up."""
     facts = scored(spark, sf)
-    runs = spark.createDataFrame([(1,), (2,), (2,)], "run int")
-    return evaluate.totals(facts.join(F.broadcast(runs), F.lit(True)), "run")
+    runs = spark.sql("select explode(array(1, 2, 2)) as run")
+    return evaluate.totals(facts.crossJoin(F.broadcast(runs)), "run")
 
 
 @query(
@@ -637,21 +619,17 @@ LISTED = f"""{fx.FILES}, listed as (select distinct translate(lower(filename), '
     marked as (select f.key, f.filename, l.k is not null as matched from files f left join listed l on translate(lower(f.filename), '_+ ', '') = l.k)"""
 
 
-def matched_files(spark: SparkSession, sf: str, how: str) -> DataFrame:
-    files = fx.files(spark, sf)
-    listed = files.filter("key % 5 <> 0").select(routing.plain_name(F.col("filename")).alias("k")).distinct()
-    return files.join(listed, routing.plain_name(F.col("filename")) == F.col("k"), how).select("key", "filename")
-
-
 @query(f"with {LISTED} select key, filename from marked where not matched")
 def j8_unmatched_files(spark: SparkSession, sf: str) -> DataFrame:
-    return matched_files(spark, sf, "left_anti")
+    files = fx.files(spark, sf)
+    return routing.with_prediction(files, files.filter("key % 5 <> 0"), wanted=False).select("key", "filename")
 
 
 @query(f"with {LISTED} select key, filename from marked where matched order by filename limit 50")
 def o6_first_matched_files(spark: SparkSession, sf: str) -> DataFrame:
-    """At most 50 files are evaluated, and unmatched ones don't count (the feature is this limit)."""
-    return matched_files(spark, sf, "left_semi").orderBy("filename").limit(50)
+    """Unmatched files don't count."""
+    files = fx.files(spark, sf)
+    return routing.first_files(routing.with_prediction(files, files.filter("key % 5 <> 0"))).select("key", "filename")
 
 
 @query(
@@ -676,3 +654,6 @@ def x6_prefix_variants(spark: SparkSession, sf: str) -> DataFrame:
     b = F.when(k % 3 == 0, F.substring("p_name", 1, 5)).when(k % 3 == 1, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_brand"))
     rows = table(spark, sf, "part").select(k.alias("key"), F.lower("p_name").alias("a"), F.lower(b).alias("b"))
     return rows.select("key", clean.prefix_variant(F.col("a"), F.col("b")).alias("variant"))
+
+
+from foliate.plans import short  # noqa: E402, F401  (registers its queries)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliate.config import META_FIELD
+from foliate.operators.clean import cleaning_counts
 
 
 def result_rows(records: DataFrame) -> DataFrame:
@@ -12,14 +15,25 @@ def result_rows(records: DataFrame) -> DataFrame:
     data = F.map_filter("extracted", lambda k, _: k != META_FIELD)
     meta = F.coalesce(F.element_at("extracted", META_FIELD), F.lit("{}"))
     return records.select(
-        F.xxhash64("filename", "created_at").alias("id"), F.substring("filename", 1, 255).alias("filename"), "doc_type", "status",
+        F.xxhash64("filename", "created_at").alias("id"), "filename", "doc_type", "status",
         F.to_json(F.coalesce(data, F.create_map().cast("map<string,string>"))).alias("extracted_data"), meta.alias("meta_data"), "created_at",
     )
 
 
 def save_results(records: DataFrame, path: str) -> None:
-    """Appends to the store, one folder per document type (the type is what lookups filter by)."""
-    result_rows(records).write.mode("append").partitionBy("doc_type").parquet(path)
+    """Appends to the store, one folder per document type (the type is what lookups filter by); data as a variant."""
+    rows = result_rows(records)
+    rows.withColumns({c: F.try_parse_json(c) for c in ("extracted_data", "meta_data")}).write.mode("append").partitionBy("doc_type").parquet(path)
+
+
+def try_save(save, *args) -> str | None:
+    """Calls a sink whose failure is not fatal: it is logged and returned, and the job goes on."""
+    try:
+        save(*args)
+    except Exception as error:  # whatever the store says
+        logging.getLogger(__name__).warning("results were not saved: %s", error)
+        return str(error)
+    return None
 
 
 def latest(spark: SparkSession, path: str, n: int = 100) -> DataFrame:
@@ -61,6 +75,23 @@ def save_documents(files: DataFrame, path: str) -> None:
     page.write.mode("overwrite").partitionBy("suffix").json(path)
 
 
+def cleaned_documents(before: DataFrame, after: DataFrame, cleaning_ms: float | None = None) -> DataFrame:
+    """doc_id, pages, cleaning_metadata: cleaned blocks in reading order as nested documents; cleaned pages may be empty."""
+    pages = before.select("doc_id", "page_number").distinct()
+    block = F.struct(
+        "position", "source", "text", F.array("x0", "y0", "x1", "y1").alias("bbox"), "confidence",
+        F.struct(F.array("x0", "y0", "x1", "y1").alias("bbox")).alias("metadata"),
+    )
+    page = after.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(block)).alias("text_sources"))
+    page = pages.join(page, ["doc_id", "page_number"], "left")
+    bare = F.transform("text_sources", lambda b: b.dropFields("position"))
+    page = page.select("doc_id", F.struct("page_number", F.coalesce(bare, F.array()).alias("text_sources")).alias("page"))
+    counts = cleaning_counts(before, after).select(
+        "doc_id", F.struct("total_blocks_before", "total_blocks_after", F.lit(cleaning_ms).cast("double").alias("cleaning_duration_ms")).alias("cleaning_metadata")
+    )
+    return page.groupBy("doc_id").agg(F.array_sort(F.collect_list("page")).alias("pages")).join(counts, "doc_id")
+
+
 def page_summary(blocks: DataFrame) -> DataFrame:
     kinds = ("embedded", "ocr", "audio", "mixed")
     return blocks.groupBy("doc_id", "page_number").agg(F.count("*").alias("blocks"), *[F.count_if(F.col("source") == k).alias(k) for k in kinds])

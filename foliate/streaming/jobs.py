@@ -9,22 +9,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliate.operators.video import CHANGED, GATED, SAME, keep_steps
-from foliate.sinks.results import result_rows
+from foliate.sinks.results import event_frame, result_rows, try_save
 
 
 def landing(spark: SparkSession, folder: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def process_into(stream: DataFrame, process, path: str, checkpoint: str):
+def process_into(stream: DataFrame, process, path: str, checkpoint: str, events: str | None = None):
     """Runs ``process`` (DataFrame -> result records) on each micro-batch and appends to the store.
 
-    A batch that is repeated after a failure replaces its own folder, so results are stored once.
+    A batch that is repeated after a failure replaces its own folder, so results are stored once. A store that fails is not
+    fatal: the batch goes by with an error event. ``events``: folder for progress, complete and error events of batches.
     """
 
-    def each(batch: DataFrame, number: int) -> None:
+    def save(batch: DataFrame, number: int) -> None:
         result_rows(process(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    def each(batch: DataFrame, number: int) -> None:
+        say(number, "progress", "started")
+        error = try_save(save, batch, number)
+        say(number, "error" if error else "complete", error or f"{path}/batch={number}")
+
+    def say(number: int, event: str, data: str) -> None:
+        if events:
+            frame = stream.sparkSession.range(1).select(event_frame(F.lit(event), F.to_json(F.struct(F.lit(number).alias("batch"), F.lit(data).alias("message")))).alias("value"))
+            try_save(lambda: frame.coalesce(1).write.mode("append").text(events))
+
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -5,10 +5,12 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from foliate import runtime
+from foliate import config, runtime
 from foliate.__main__ import main
 from foliate.functions.frames import blur, ssim
+from foliate.operators import video
 from foliate.sinks import results
 from foliate.sources import providers
 
@@ -38,18 +40,23 @@ def test_failed_calls_are_rows(spark):
 
 
 def test_files_are_dispatched_by_kind(spark):
-    def make():
+    def make(force_ocr, extraction_mode):
         def read(batch):
+            if batch.path.str.contains("bad").any():
+                raise ValueError("unreadable")
             n = len(batch)
             return pd.DataFrame({"path": batch.path, "page_number": 1, "block_idx": 0, "source": "ocr", "text": ["t"] * n, "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, "confidence": 1.0, "error": None})
 
         return read
 
-    files = spark.createDataFrame([("/a/x.png", bytearray(b"1")), ("/a/y.pdf", bytearray(b"2")), ("/a/z.xyz", bytearray(b"3"))], "path string, content binary")
+    files = spark.createDataFrame([("/a/x.png", bytearray(b"1")), ("/a/y.pdf", bytearray(b"2")), ("/a/z.xyz", bytearray(b"3")), ("/a/bad.png", bytearray(b"4"))], "path string, content binary")
     blocks = providers.process_files(files, {"image": make})
-    assert {(r.path, r.text, r.error) for r in blocks.collect()} == {("/a/x.png", "t", None), ("/a/y.pdf", None, "no reader for pdf"), ("/a/z.xyz", None, "no reader for this extension")}
+    assert {(r.path, r.text, r.error) for r in blocks.collect()} == {("/a/x.png", "t", None), ("/a/y.pdf", None, "no reader for pdf"), ("/a/z.xyz", None, "no reader for this extension"), ("/a/bad.png", None, "unreadable")}
     rows = {r.document_name: (r.document_type, r.total_pages, r.status) for r in providers.document_rows(files, blocks).collect()}
-    assert rows == {"x.png": ("image", 1, "success"), "y.pdf": ("pdf", 0, "failed"), "z.xyz": (None, 0, "failed")}
+    assert rows == {"x.png": ("image", 1, "success"), "y.pdf": ("pdf", 0, "failed"), "z.xyz": (None, 0, "failed"), "bad.png": ("image", 0, "failed")}
+    assert all(r.elapsed_ms >= 0 for r in blocks.collect())
+    with pytest.raises(ValueError):
+        providers.process_files(files, {}, extraction_mode="all")
 
 
 def test_frame_similarity():
@@ -79,7 +86,10 @@ def test_command_line(spark, tmp_path):
     doc = {"document_id": "d", "document_name": "d.pdf", "document_type": "pdf", "total_pages": 1, "pages": [{"page_number": 1, "text_sources": [block("embedded", "second", 40.0), block("embedded", ": first", 0.0), block("ocr", "first", 1.0)]}]}
     (tmp_path / "doc.json").write_text(json.dumps(doc))
     main(["clean", str(tmp_path / "doc.json"), "--output-json", str(tmp_path / "out")])
-    assert [r.document_text for r in spark.read.json(str(tmp_path / "out")).collect()] == ["--- PAGE 1 ---\nfirst\nsecond"]
+    assert [r.document_text for r in spark.read.json(str(tmp_path / "out_text")).collect()] == ["--- PAGE 1 ---\nfirst\nsecond"]
+    cleaned = spark.read.json(str(tmp_path / "out")).first()
+    assert [b.text for b in cleaned.pages[0].text_sources] == ["first", "second"] and cleaned.cleaning_metadata.total_blocks_before == 3
+    assert cleaned.cleaning_metadata.total_blocks_after == 2
     (tmp_path / "gt.json").write_text(json.dumps({"a.pdf": {"expected": {"x": "1", "policy_type": "t"}}}))
     spark.createDataFrame([("a.pdf", "x", "1")], "filename string, field string, predicted string").write.parquet(str(tmp_path / "pred"))
     main(["evaluate", "--gt", str(tmp_path / "gt.json"), "--predictions", str(tmp_path / "pred"), "--output", str(tmp_path / "eval")])
@@ -100,3 +110,89 @@ def test_scratch_wants_a_shared_folder_on_a_cluster():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.scratch_dir(Session())
     assert [runtime.one_machine(m) for m in ("local", "local[8]", "local[*]", "local-cluster[2,1,1024]", "yarn")] == [True, True, True, False, False]
+
+
+def model_for_tests():
+    """Says life at temperature 0, and gives a life record otherwise; fails for one text."""
+
+    def post(payload):
+        text = payload["messages"][-1]["content"]
+        if "broken" in text:
+            return 500, {}
+        if payload["temperature"] == 0:
+            assert payload["timeout"] == 30 and len(text) <= 4000
+            return 200, {"choices": [{"message": {"content": '{"doc_type": "life"}'}}]}
+        return 200, {"choices": [{"message": {"content": '{"insured_name": "A", "insurer_name": "", "cell_phone": "0123456789"}'}}]}
+
+    return providers.LanguageModel(post, "m")
+
+
+def test_extraction_job(spark, tmp_path):
+    texts = [("1", "nothing known " * 500), ("2", "Star Health scheme description"), ("3", "broken"), ("4", "multisure and SASRIA")]
+    folder = str(tmp_path / "texts")
+    spark.createDataFrame(texts, "doc_id string, document_text string").write.json(folder)
+    main(["extract", folder, "--output", str(tmp_path / "store"), "--model", "tests.test_jobs:model_for_tests"])
+    got = {r.filename: r for r in spark.read.parquet(str(tmp_path / "store")).selectExpr("filename", "doc_type", "status", "to_json(extracted_data) as data").collect()}
+    assert {k: (r.doc_type, r.status) for k, r in got.items()} == {"1": ("life", "success"), "2": ("health", "success"), "3": ("life", "failed"), "4": ("property", "failed")}
+    assert json.loads(got["1"].data)["insurer_name"] == "Unknown" and json.loads(got["1"].data)["cell_phone"] == "0123456789"
+
+
+def test_scan_job(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"x")
+    (tmp_path / "in" / "b.doc").write_bytes(b"y")
+    main(["scan", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--reader", "pdf=tests.test_jobs:two_pages", "--force-ocr"])
+    assert {r.text for r in spark.read.parquet(str(tmp_path / "out" / "blocks")).collect()} == {"True|both", None}
+    rows = {r.document_name: (r.status, r.total_pages) for r in spark.read.json(str(tmp_path / "out" / "documents")).collect()}
+    assert rows == {"a.pdf": ("success", 2), "b.doc": ("failed", 0)}
+
+
+two_pages = providers.stand_in(2)
+
+
+def test_a_failing_store_is_not_fatal(spark, tmp_path):
+    def broken():
+        raise OSError("no space")
+
+    assert results.try_save(broken) == "no space" and results.try_save(lambda: None) is None
+    name = "n" * 300
+    row = spark.createDataFrame([(name, "car", "success", {"a": "b"})], "filename string, doc_type string, status string, extracted map<string,string>").withColumn("created_at", F.timestamp_seconds(F.lit(1)))
+    results.save_results(row, str(tmp_path / "s"))
+    assert results.latest(spark, str(tmp_path / "s")).first().filename == name
+
+
+def test_env_file(tmp_path):
+    (tmp_path / ".env").write_text("# c\nexport A = 'x y'\nB=2=3\n\nbad line\n")
+    env = {"A": "old"}
+    assert config.load_env((str(tmp_path / "none"), str(tmp_path / ".env")), env).endswith(".env") and env == {"A": "x y", "B": "2=3"}
+    assert config.load_env((str(tmp_path / "none"),), env) is None
+
+
+def test_similarity_of_samples(spark):
+    rnd = np.random.default_rng(1)
+    films = {1: [(60, 80), (60, 80), (120, 160)], 2: [(300, 200)]}
+    rows, want = [], {}
+    for film, shapes in films.items():
+        before = None
+        for t, shape in enumerate(shapes):
+            image = rnd.integers(0, 256, shape).astype(np.uint8)
+            small = np.array([[image[y, x] for x in range(shape[1])] for y in range(shape[0])])
+            at = [np.clip((np.arange(256) + 0.5) * n / 256 - 0.5, 0, n - 1) for n in shape]
+            low = [np.minimum(a.astype(int), n - 2) for a, n in zip(at, shape)]
+            y, x = np.meshgrid(*low, indexing="ij")
+            v, u = np.meshgrid(*[a - b for a, b in zip(at, low)], indexing="ij")
+            small = small.astype(float)
+            whole = (small[y, x] * (1 - v) + small[y + 1, x] * v) * (1 - u) + (small[y, x + 1] * (1 - v) + small[y + 1, x + 1] * v) * u
+            whole = np.rint(whole).astype(np.uint8)
+            want[film, t] = None if before is None else ssim(before, whole)
+            before = whole
+            rows.append((film, t, *shape, bytearray(image.tobytes())))
+    df = spark.createDataFrame(rows, "video_id long, t long, height int, width int, pixels binary")
+    got = {(r.video_id, r.t): r.ssim for r in video.frame_similarity(df).collect()}
+    assert set(got) == set(want) and all(w is None and got[k] is None or got[k] == pytest.approx(w, abs=1e-3) for k, w in want.items())
+
+
+def test_branches_fail_alone():
+    assert video.branch_errors("no frames", None) == {"frames": "no frames"} and video.branch_errors(None, "x", "frames") == {}
+    with pytest.raises(RuntimeError, match="no frames"):
+        video.branch_errors("no frames", None, "frames")

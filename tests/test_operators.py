@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliate.config import FIELDS, CleanConfig
 from foliate.functions import formats, similarity, text as X
 from foliate.operators import classify, clean, evaluate, extract, layout, video
-from foliate.sources import documents, routing
+from foliate.sources import documents, pages, routing
 from foliate.streaming import jobs
 
 BLOCK = "doc_id long, page_number int, block_idx int, source string, text string, x0 double, y0 double, x1 double, y1 double, confidence double"
@@ -148,6 +148,49 @@ def test_words_merge_into_runs(spark):
     assert [r.text for r in layout.merge_words(df).orderBy("block_idx").collect()] == ["c", "a b", "d"]
 
 
+def plain_runs(words):
+    """Words (text, x0, y0, x1, y1, confidence) of a page in list order -> runs, as the rule says it."""
+    lines = []
+    for w in sorted(words, key=lambda w: (w[2] + w[4]) / 2):
+        centre = (w[2] + w[4]) / 2
+        for line in lines:
+            if abs(centre - sum((v[2] + v[4]) / 2 for v in line) / len(line)) <= max(6.0, 0.45 * sum(v[4] - v[2] for v in line) / len(line)):
+                line.append(w)
+                break
+        else:
+            lines.append([w])
+    runs = []
+    for line in lines:
+        now = None
+        for w in sorted(line, key=lambda w: (w[1], (w[2] + w[4]) / 2)):
+            if now and w[1] - now["x1"] <= 2.5 * (w[4] - w[2] + now["y1"] - now["y0"]) / 2:
+                now["words"].append(w)
+            else:
+                now = {"words": [w]}
+                runs.append(now)
+            now.update(x0=min(v[1] for v in now["words"]), y0=min(v[2] for v in now["words"]), x1=max(v[3] for v in now["words"]), y1=max(v[4] for v in now["words"]))
+    out = [(" ".join(v[0] for v in r["words"]), *(float(int(r[c])) for c in ("x0", "y0", "x1", "y1")), round(sum(v[5] for v in r["words"]) / len(r["words"]), 9)) for r in runs]
+    return sorted(out, key=lambda r: ((r[2] + r[4]) / 2, r[1]))
+
+
+def test_merged_words_by_brute_force(spark):
+    rnd = random.Random(9)
+    rows, pages = [], {}
+    for doc in range(25):
+        words = []
+        for i in range(rnd.choice([1, 5, 60, 150])):
+            x0, y0 = rnd.choice([0.0, 30.5, 80.0, 200.0]) + rnd.random() * 40, rnd.randrange(0, 12) * 9.0 + rnd.random() * 8
+            words.append((f"w{i}", x0, y0, x0 + rnd.randrange(5, 40), y0 + rnd.choice([6.0, 10.0, 30.0]), rnd.random()))
+        pages[doc] = words
+        rows += [(doc, 1, i, *w) for i, w in enumerate(words)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, block_idx int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    got = {}
+    for r in layout.merge_words(df).orderBy("doc_id", "block_idx").collect():
+        got.setdefault(r.doc_id, []).append((r.text, r.x0, r.y0, r.x1, r.y1, round(r.confidence, 9)))
+    assert got == {doc: plain_runs(words) for doc, words in pages.items()}
+
+
 def test_text_functions(spark):
     rows = [("\xa0 a \t b\n", "a b"), ("", ""), (None, None)]
     df = spark.createDataFrame([(a,) for a, _ in rows], "t string")
@@ -238,11 +281,59 @@ def test_word_files_and_routing(spark, tmp_path):
         z.writestr("word/header1.xml", f"<w:hdr {w}><w:p><w:r><w:t>Head</w:t></w:r></w:p></w:hdr>")
     (tmp_path / "a.docx").write_bytes(buffer.getvalue())
     (tmp_path / "b.docx").write_bytes(b"no zip")
+    assert documents.read_word_images(spark, str(tmp_path)).count() == 0
     rows = documents.read_word(spark, str(tmp_path)).orderBy("path", "block_idx").collect()
     assert [(r.part, r.text) for r in rows][:3] == [("header", "Head"), ("body", "Hello"), ("body", "Cell")] and rows[3].part == "failed"
     assert {r.kind for r in routing.list_files(spark, str(tmp_path)).collect()} == {"docx"}
 
 
+def test_word_parts_in_order(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:m="urn:mc"'
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    box = f"<w:p><w:r><w:t>body </w:t></w:r><m:AlternateContent><m:Choice><w:r><w:txbxContent>{p('BOX')}</w:txbxContent></w:r></m:Choice><m:Fallback><w:r><w:txbxContent>{p('BOX')}</w:txbxContent></w:r></m:Fallback></m:AlternateContent></w:p>"
+    refs = "".join(f'<w:headerReference w:type="{kind}" r:id="rId{n}"/>' for kind, n in (("default", 2), ("first", 10), ("even", 7)))
+    kinds = {2: "default", 10: "first", 7: "even", 3: "unused"}
+    for name, title in (("on", "<w:titlePg/>"), ("off", "")):
+        with zipfile.ZipFile(tmp_path / f"{name}.docx", "w") as z:
+            z.writestr("word/document.xml", f"<w:document {w}><w:body>{box}<w:sectPr>{refs}<w:footerReference w:type='default' r:id='rId20'/>{title}</w:sectPr></w:body></w:document>")
+            z.writestr("word/_rels/document.xml.rels", "<R>" + "".join(f'<x Id="rId{n}" Target="header{n}.xml"/>' for n in kinds) + '<x Id="rId20" Target="footer1.xml"/></R>')
+            for n, kind in kinds.items():
+                z.writestr(f"word/header{n}.xml", f"<w:hdr {w}>{p(kind)}</w:hdr>")
+            z.writestr("word/footer1.xml", f"<w:ftr {w}>{p('foot')}</w:ftr>")
+            for n in range(3):
+                z.writestr(f"word/media/image{n}.png", b"same" if n < 2 else b"other")
+    texts = documents.read_word(spark, str(tmp_path))
+    got = {}
+    for r in texts.orderBy("path", "block_idx").collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append(r.text)
+    assert got == {"on.docx": ["first", "even", "default", "body", "BOX", "foot"], "off.docx": ["even", "default", "body", "BOX", "foot"]}
+    images = documents.read_word_images(spark, str(tmp_path))
+    assert sorted((r.path.rsplit("/", 1)[1], r.image, bytes(r.content)) for r in images.collect()) == [(f"{n}.docx", i, c) for n in ("off", "on") for i, c in ((0, b"same"), (1, b"other"))]
+    read = images.select("path", "image", F.lit(0).alias("word_idx"), F.lit("seen").alias("text"), F.lit(0.5).alias("confidence"))
+    blocks = documents.word_blocks(texts, read).filter("path like '%/off.docx'").orderBy("block_idx").collect()
+    assert [(r.source, r.text) for r in blocks] == [("embedded", t) for t in got["off.docx"]] + [("ocr", "seen")] * 2 and blocks[0].width == 612
+    many = io.BytesIO()
+    with zipfile.ZipFile(many, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body/></w:document>")
+        for n in range(1, 12):
+            z.writestr(f"word/header{n}.xml", f"<w:hdr {w}>{p(n)}</w:hdr>")
+    assert [t for _, t in documents.word_paragraphs(many.getvalue())] == [str(n) for n in range(1, 12)]
+
+
+def test_pages_from_what_was_read(spark):
+    tuples = spark.createDataFrame([(1, 1, 0, 7, 0, " Name: ", 0.0, 0.0, 40.0, 10.0), (1, 1, 1, 4, 0, "no", 0.0, 0.0, 1.0, 1.0), (1, 1, 2, 6, 1, "Ann", 60.0, 1.0, 90.0, 11.0), (1, 1, 3, 7, 0, "\xa0", 0.0, 0.0, 1.0, 1.0)], "doc_id long, page_number int, idx int, fields int, kind int, text string, x0 double, y0 double, x1 double, y1 double")
+    regions = spark.createDataFrame([(1, 1, 0, 100.0, 200.0, 300.0, 400.0), (1, 1, 1, 5.0, 5.0, 5.0, 9.0), (1, 1, 2, None, 5.0, 5.0, 9.0), (2, 1, 0, 0.0, 0.0, 10.0, 10.0)], "doc_id long, page_number int, region int, x0 double, y0 double, x1 double, y1 double")
+    corner = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")), F.struct(F.lit(150).alias("x"), F.lit(75).alias("y"))
+    read = lambda asked: asked.select("doc_id", "page_number", "region", F.lit(0).alias("word_idx"), F.lit(" word ").alias("text"), F.array(*corner).alias("vertices"), F.lit(0.8).alias("confidence"))
+    got = sorted((r.doc_id, r.text, r.source, r.x0, r.y0, r.x1, r.y1) for r in pages.pdf_blocks(tuples, regions, read).collect())
+    assert got == [(1, "Name: Ann", "embedded", 0.0, 0.0, 40.0, 10.0), (1, "word", "ocr", 100.0, 200.0, 172.0, 236.0), (2, "word", "ocr", 0.0, 0.0, 72.0, 36.0)]
+    long = tuples.withColumn("text", F.repeat("text", F.lit(20)))
+    assert {r.region for r in pages.regions_to_read(regions.filter("doc_id = 1"), pages.embedded_blocks(long)).collect()} == set()
+    assert pages.regions_to_read(regions, pages.embedded_blocks(long), force=True).count() == 2
+    words = spark.createDataFrame([(1, 0, "a", [(0, 0), (9, 9)], 1.0), (1, 1, "b", [(0, 0)], 1.0)], "doc_id long, word_idx int, text string, vertices array<struct<x:int,y:int>>, confidence double")
+    assert [(r.text, r.source) for r in pages.image_blocks(words).collect()] == [("a", "ocr")]
+
+
 def test_the_library_does_not_need_the_training_data_operators():
     import ast
     from pathlib import Path

@@ -49,7 +49,7 @@ def test_every_query_without_sql_is_listed():
     without = {q for q in registry.QUERIES if q not in registry.ORACLES}
     assert without == {
         "x3_unicode_repair", "x5_domain_snap", "f8_garbage", "f13_word_likeness", "t1_merge_words", "t2_pair_labels", "t3_merge_wrapped",
-        "j1_duplicate_pairs", "j4_drop_duplicates", "clean_documents",
+        "j1_duplicate_pairs", "j4_drop_duplicates", "clean_documents", "x23_frame_similarity",
     }
 
 
