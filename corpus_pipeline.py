@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
 docs. All but the last return the columns of ``documents``. No SQL can express the learned and iterative stages, so
 ``ORACLE_SQL`` is None; tests hold the run against a brute-force version.
+
+The stages' order is given: line dedup comes before the n-gram join, so near copies that share whole lines have lost
+those lines by then, and the join sees what is left of them.
+
+Defined cases, of every stage: null or empty text is a document that is kept (without lines, links and tokens); texts of
+any length are read whole; rows that tie or repeat are told apart as the operators say, and equal rows are one group of
+near copies, of which one row stays; extra columns are carried along up to the last stage, whatever their names; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,18 +24,27 @@ from foliate.runtime import broadcast_if_small, ensure_worker_imports, materiali
 IDS = 1_000_000  # ids are broadcast up to this count (8 MB), else joined by shuffle
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` under names that no operator uses: each replaces columns of its results' names, and ``docs`` may have such."""
+    return docs.toDF(*[f"c_{c}" for c in docs.columns])
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"`c_{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     ensure_worker_imports(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     model = toxicity.fit(docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model).filter("predicted = 0").select(docs.columns)
+    return back(toxicity.score(named(docs), model, "c_text").filter("predicted = 0"), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the first of them; documents stay, with the rest of their lines."""
-    kept = line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(docs.columns)
+    kept = line_dedup.dedup_lines(named(docs), "c_doc_id", "c_text").withColumn("c_n_chars", F.length("c_text").cast("long"))
+    return back(kept, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +71,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Scarce sources are repeated towards equal weights, ``REPEATS`` times at most; every document occurs."""
-    return mixing.mix(docs, mixing.repeats_within(REPEATS)).select(docs.columns)
+    mixed = mixing.mix(named(docs), mixing.repeats_within(REPEATS), "c_doc_id", "c_source", "c_text")
+    return back(mixed, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and ids (little-endian unsigned 32-bit integers) of every occurrence."""
+    """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the text decoded from them, of every occurrence."""
     ensure_worker_imports(spark)
-    return bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).drop("text")
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).drop("text")
+    return bpe.decode(ids, tokenizer_path())
 
 
 STAGES = [

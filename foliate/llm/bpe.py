@@ -5,9 +5,11 @@ the BPE result exactly if every token encodes to itself and no adjacent pair wou
 Pairs are tested together: all distinct pairs of a batch walk back through their last merges in numpy. Only words with
 a failing pair are merged exactly, with a heap of candidate merges. Words are memoised per worker, up to a bound.
 
-Defined cases: null text is empty and has no tokens; a special token's string inside a text gets its own id; very long
-words take n log n; repeated rows are encoded each; extra columns are dropped by ``digest`` (it returns the id column
-and four values); an empty table gives an empty table.
+Defined cases: a vocabulary file with other settings than those assumed here raises; null text is empty and has no
+tokens; a special token's string inside a text gets its own id; texts of any length are encoded whole, and very long
+words take n log n; repeated rows are encoded each; ``encode`` and ``decode`` carry extra columns along (n_tokens, ids and
+the decoded text replace columns of their names), ``digest`` returns the id column and three values; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # \s of the pattern is Unicode White_Space, which lacks U+001C to U+001F
 PATTERN = PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_CHARS = 400_000, 16 << 20  # of memoised words per worker
 BATCH_CHARS = 1 << 20
 NEVER = 1 << 40
 
@@ -38,9 +40,27 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def require_plain(spec: dict, path: str) -> None:
+    """Raises for a vocabulary file whose settings are not those that this tokeniser follows."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    wanted = {
+        "model type": (model.get("type"), "BPE"), "normalizer": (spec.get("normalizer"), None), "pre-tokenizer": (before.get("type"), "ByteLevel"),
+        "add_prefix_space": (before.get("add_prefix_space"), False), "use_regex": (before.get("use_regex", True), True),
+        **{k: (model.get(k) or None, None) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")},
+    }
+    for token in spec["added_tokens"]:
+        for flag in ("single_word", "lstrip", "rstrip", "normalized"):
+            wanted[f"{flag} of {token['content']}"] = (bool(token.get(flag)), False)
+    other = [f"{k} is {got!r}" for k, (got, want) in wanted.items() if got != want]
+    if other:
+        raise ValueError(f"{path}: {', '.join(other)}")
+
+
 class SpeculativeBpe:
     def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        require_plain(spec, path)
         letters = byte_letters()
         to_byte = {c: b for b, c in enumerate(letters)}
         vocab = spec["model"]["vocab"]
@@ -80,6 +100,7 @@ class SpeculativeBpe:
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(f"({regex.escape(s)})" for s in self.special)) if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.cached_chars = 0
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether each pair of tokens stays apart, for all pairs at once.
@@ -167,9 +188,12 @@ class SpeculativeBpe:
                 lists.append([w for p in parts for w in ([p] if p in self.special else self.pattern.findall(p))])
             seen = {w for words in lists for w in words} - self.special.keys()
             new = seen - self.cache.keys()
-            if len(self.cache) + len(new) > CACHE_WORDS:
+            chars = sum(map(len, new))
+            if len(self.cache) + len(new) > CACHE_WORDS or self.cached_chars + chars > CACHE_CHARS:
                 self.cache.clear()
-                new = seen
+                new, self.cached_chars = seen, 0
+                chars = sum(map(len, new))
+            self.cached_chars += chars
             self.learn(new)
             known, marks = self.cache, {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
             out += [b"".join([marks.get(w) or known[w] for w in words]) for words in lists]
@@ -229,6 +253,21 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, n_tokens long, ids binary")
 
 
+def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """``rows`` with the text that ``ids_col`` (little-endian unsigned 32-bit integers) stands for; null ids give null."""
+    rows = rows.drop(*[c for c in rows.columns if c.lower() == text_col.lower()])
+    at = rows.columns.index(ids_col)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in stream:
+            texts = [None if i is None else bpe.decode(np.frombuffer(i, "<u4")) for i in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(run, f"{fields}, `{text_col}` string")
+
+
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 of every whole text: encoded, then decoded from the ids."""
 

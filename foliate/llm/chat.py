@@ -10,10 +10,12 @@ goes before every backslash, before ``###`` and before ``</turn>`` (in roles als
 
 Conversations are streamed: rows are dealt by conversation and sorted by turn, and a conversation is emitted in chunks
 of about CHUNK characters, cut between turns. A turn's border is also a border of the tokeniser's words (a line feed
-before ``#``), so the chunks' tokens are those of the whole. One conversation of any length needs one chunk of memory.
+before ``#``), so the chunks' tokens are those of the whole. A conversation of any number of turns needs the memory of one
+chunk: CHUNK characters and one turn, whatever that turn's length. Its turns are read in one task, since its digests
+run over them in order.
 
 Defined cases: null text or role is empty; null turns come first; ties in turn are ordered by role and text; rows that
-repeat are turns of their own; rows of a null conversation id are one conversation; extra columns are ignored; an
+repeat are turns of their own; rows of a null conversation id are one conversation; extra columns are ignored, whatever their names; an
 empty table gives an empty table.
 """
 
@@ -138,16 +140,26 @@ def masked(formatted_bytes: bytes, ends: np.ndarray, mask: list[dict]) -> Iterat
         yield formatted_bytes[at : at + m["keep"]].decode()
 
 
-def read_back(chunks: DataFrame, path: str) -> DataFrame:
-    """Digests of each conversation, from the formatted text, the ids and the mask alone."""
+def read_back(chunks: DataFrame, path: str, in_order: bool = False) -> DataFrame:
+    """Digests of each conversation, from the formatted text, the ids and the mask alone.
+
+    ``in_order``: the chunks are still dealt and sorted as ``format_conversations`` left them; else they are dealt again.
+    A conversation whose chunks are not complete and in order raises.
+    """
+    if not in_order:
+        chunks = chunks.repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         turns, loss, counts = hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
+        conv, number = None, 0
         for batch in stream:
             done = []
             for row in batch.to_pylist():
+                if row["chunk"] != number or (number and row["conv_id"] != conv):
+                    raise ValueError(f"chunk {row['chunk']} of conversation {row['conv_id']} is out of order")
+                conv, number = row["conv_id"], 0 if row["last"] else number + 1
                 ids = np.frombuffer(row["ids"], "<u4")
                 raw = b"".join([bpe.bytes_of[i] for i in ids.tolist()])
                 for role, text in parse(row["formatted"]):
@@ -164,5 +176,7 @@ def read_back(chunks: DataFrame, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), kinds)], names)
+        if number:
+            raise ValueError(f"conversation {conv} ends after chunk {number - 1}, which is not its last")
 
     return chunks.mapInArrow(run, schema)

@@ -58,7 +58,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, i, role, CONTROL) for i, role in enumerate(("user", "assistant"))], rows.schema)
-    return read_back(format_conversations(rows.unionByName(more), tokenizer_path()), tokenizer_path())
+    return read_back(format_conversations(rows.unionByName(more), tokenizer_path()), tokenizer_path(), in_order=True)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,17 @@ def test_bpe_frames(spark, library):
     )
     assert set(bpe.encode(df, PATH).columns) == {"doc_id", "text", "n_tokens", "ids"}
     assert bpe.digest(df.limit(0), PATH).count() == 0
+    back = bpe.decode(bpe.encode(df.withColumn("TEXT2", F.lit("x")), PATH).withColumnRenamed("text", "old"), PATH)
+    assert back.columns == ["doc_id", "old", "TEXT2", "n_tokens", "ids", "text"] and all(r.text == (r.old or "") for r in back.collect())
+    assert bpe.decode(spark.createDataFrame([(1, None)], "i int, ids binary"), PATH).first().text is None
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "<x>", "id": 0, "lstrip": True}]}])
+def test_other_settings_are_refused(change):
+    plain = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE"}, "added_tokens": []}
+    bpe.require_plain(plain, "file")
+    with pytest.raises(ValueError, match="file"):
+        bpe.require_plain(plain | change, "file")
 
 
 CONVERSATIONS = [
@@ -106,6 +117,12 @@ def test_chat_reads_back(spark, monkeypatch, chunk, library):
         whole = "".join(p.formatted for p in parts)
         assert np.frombuffer(b"".join(p.ids for p in parts), "<u4").tolist() == library.encode(whole, add_special_tokens=False).ids
     assert chat.read_back(chat.format_conversations(df.limit(0), PATH), PATH).count() == 0
+    shuffled = made.orderBy("chunk", F.desc("conv_id")).repartition(3)
+    assert {r.conv_id: r for r in chat.read_back(shuffled, PATH).collect()} == got == {r.conv_id: r for r in chat.read_back(made, PATH, in_order=True).collect()}
+    if chunk and made.filter("chunk > 0").count():
+        for broken in (made.filter("chunk <> 1"), made.filter("not last")):
+            with pytest.raises(Exception, match="out of order|not its last"):
+                chat.read_back(broken, PATH).collect()
 
 
 def test_template_round_trip():
@@ -372,6 +389,31 @@ def test_pipeline_by_brute_force(spark, library):
         assert np.frombuffer(r.ids, "<u4").tolist() == want and r.n_tokens == len(want)
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 1), (1, None), (None, 0), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    extra = {"score": "string", "predicted": "int", "n_lines": "int", "n_dropped": "string", "n_tokens": "string", "weight": "int", "epoch": "int", "block": "int", "place": "int", "__lost": "int", "component_id": "int", "id": "int"}
+    values = ("s", None, 1, "d", "t", 2, 3, 4, 5, 6, 7, 8)
+    base = [(1, "a plain line of words here\nanother plain line", "a"), (2, None, "a"), (3, "", None), (4, " \n\t", "b"), (None, "no id at all", "b"), (None, None, None), (5, "tie one two three four", "a"), (6, "tie one two three four", "a"), (7, "x " * 60_000, "c")]
+    rows = [(i, t, "en", s, len(t or "")) for i, t, s in base] + [(8, "same row twice over again", "en", "a", 25)] * 2
+    docs = spark.createDataFrame([(*r, *values) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` {t}" for n, t in extra.items()))
+    texts = lambda df: Counter((r.doc_id, r.text or "") for r in df.collect())
+    given = Counter((r[0], r[1] or "") for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "bpe":
+            assert out.columns == ["doc_id", "source", "n_tokens", "ids", "text"] and texts(out) == given
+        else:
+            assert out.columns == docs.columns and all(tuple(r[c] for c in extra) == values for r in out.collect())
+        if name in ("toxicity", "mixing"):
+            assert set(texts(out)) == set(given) and (name == "mixing" or texts(out) == given)
+        elif name == "line_dedup":
+            assert texts(out) == given - Counter({(6, "tie one two three four"): 1}) + Counter({(6, ""): 1})
+        elif name == "ngram_jaccard":
+            assert texts(out) == given - Counter({(6, "tie one two three four"): 1, (8, "same row twice over again"): 1})
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_repeated_ids_with_other_texts_stay(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rnd = random.Random(9)
