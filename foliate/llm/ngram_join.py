@@ -265,14 +265,8 @@ def candidate_pairs(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     only, and the join counts all of them.
     """
     cells = columns.select("id", "n", "component", F.explode("grams").alias("gram"))
-    live = cells.groupBy("gram").agg(
-        F.count("*").alias("df"), F.sum("n").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"),
-        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"),
-    )
-    live = materialise(live.filter("a <> b").drop("a", "b"))
-    # hot columns of the same documents (as of long copies) are one: the first stands for all
-    alike = live.filter(F.col("df") > HOT).groupBy("df", "x", "y").agg(F.min("gram").alias("first"))
-    live = live.join(broadcast_if_small(alike, IDS), ["df", "x", "y"], "left").select("gram", "df", "size", F.col("df").alias("rows"), F.coalesce("first", "gram").alias("column"))
+    live = cells.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").alias("size"), F.min("component").alias("a"), F.max("component").alias("b"))
+    live = materialise(live.filter("a <> b").select("gram", "df", "size", F.col("df").alias("rows")))
     cells = materialise(meet(cells, live, ["gram"], "rows"))
     cold = cells.filter(F.col("df") <= HOT)
     one = cold.select("gram", F.col("id").alias("u"), F.col("n").alias("n_u"), F.col("component").alias("c_u"))
@@ -282,8 +276,12 @@ def candidate_pairs(columns: DataFrame, percent: int) -> tuple[DataFrame, DataFr
     beyond = F.greatest(*[F.expr(f"(({percent} * {n} + 99) div 100) - 1") for n in ("n_u", "n_v")])  # sizes less columns
     pairs = met.filter(F.col("c") + beyond >= needed(F.col("n_u"), F.col("n_v"), percent)).select("u", "v")
     # hot columns: their documents in blocks (by count and by total size), every two blocks of a column a unit
-    column = F.when((F.col("df") > HOT) & (F.col("gram") == F.col("column")), F.struct("gram", "df", "size"))
-    warm = cells.groupBy("id", "n", "component").agg(F.collect_list(column).alias("cells"), F.collect_list("gram").alias("grams"))
+    # hot columns of the same documents (as of long copies) are one: the first stands for all
+    alike = cells.filter(F.col("df") > HOT).groupBy("gram", "df").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    first = alike.groupBy("df", "x", "y").agg(F.min("gram").alias("column"))
+    column = F.when(F.col("column").isNotNull(), F.struct("gram", "df", "size"))
+    own = broadcast_if_small(materialise(first.select(F.col("column").alias("gram"), "column")), IDS)
+    warm = cells.join(own, "gram", "left").groupBy("id", "n", "component").agg(F.collect_list(column).alias("cells"), F.collect_list("gram").alias("grams"))
     rows = warm.filter(F.size("cells") > 0).withColumn("hot", F.transform("cells", lambda x: x["gram"]))
     rows = rows.withColumn("columns_", F.expr(f"n - (({percent} * n + 99) div 100) + 1"))
     blocks = F.greatest(F.ceil(F.col("cell.df") / F.lit(BLOCK)), F.ceil(F.col("cell.size") / F.lit(BLOCK_CELLS))).cast("int")
