@@ -2,29 +2,29 @@
 
 The units are words: runs of at most LONG characters that are neither ASCII white space nor of a script written without
 spaces. Characters of such scripts and of longer runs are units of their own. So a passage is cut alike in any text,
-whatever surrounds it. A k-mer is K units in a row. It is
-chosen if its minimal inner substring, one word by its hash, lies at an edge: first or last. The choice depends on the
-k-mer alone, so equal passages choose the same anchors wherever they stand. A fingerprint is all anchors of the text, by
-position, so it grows with the text; a text of fewer than FEW units also has the anchors of its characters. Two texts
-that both have those are compared by them, all others by words, so both sides are always cut alike. A text of fewer than K units, or without a chosen k-mer, has one anchor, the whole
-text. The SKETCH smallest distinct hashes, in order, as hexadecimal text, go along as a short form that nothing is
-computed from.
+whatever surrounds it. A k-mer is K units in a row. It is chosen if its minimal inner substring, one word by its hash,
+lies at an edge: first or last. The choice depends on the k-mer alone, so equal passages choose the same anchors wherever
+they stand. A fingerprint is all anchors of the text, by position, so it grows with the text; a text of fewer than FEW
+units also has the anchors of its characters. Two texts that both have those are compared by them, all others by words,
+so both sides are always cut alike. A text of fewer than K units, or without a chosen k-mer, has one anchor, the whole
+text. The SKETCH smallest distinct hashes go along as a short form that nothing is computed from.
 
 Two fingerprints are matched by hash, the first positions of equal anchors with each other. Likeness is the share of the
 common anchors among all distinct ones (Jaccard, 0 to 1); alignment is the same share for those common anchors that are
 moved by the same distance, the most frequent one.
 
-Defined cases: null text is empty; two empty fingerprints do not occur (an empty text has an anchor of its own); repeated
-rows are ordered by text; a null id comes first; extra columns are carried along; an empty table gives an empty table.
+Defined cases: null text is empty; two empty fingerprints do not occur (an empty text has an anchor of its own); a text of
+any length is cut whole; rows that repeat an id are ordered by text, and equal rows follow each other; a null id comes
+first; extra columns are ignored, whatever their names; an empty table gives an empty table. All rows of one id are in
+one range (ids are distinct as a rule).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from foliate.runtime import broadcast_if_small, materialise
-
 from foliate.functions.columns import bind
+from foliate.runtime import broadcast_if_small, materialise
 
 K = 4
 FEW = 24  # texts of fewer units have anchors of characters too
@@ -34,7 +34,7 @@ SKETCH = 64
 UNSPACED = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
 LETTER = rf"[^{UNSPACED}\x20\x09-\x0D]"
 UNIT = rf"(?<!{LETTER}){LETTER}{{1,{LONG}}}+(?!{LETTER})|[^\x20\x09-\x0D]"
-RANGE_ROWS, MAX_RANGES = 2048, 4096
+RANGE_ROWS, MAX_RANGES, HEADS = 2048, 4096, 1_000_000
 
 
 def anchors(text: Column) -> Column:
@@ -68,9 +68,19 @@ def syncmers(units: Column, text: Column) -> Column:
     return bind(F.transform(units, lambda w: F.xxhash64(w)), chosen)
 
 
-def sketch(found: Column) -> Column:
-    """The SKETCH smallest distinct hashes of a list of anchors, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda a: a["hash"]))), 1, SKETCH)
+def own_anchors(a: Column) -> Column:
+    """The anchors of a fingerprint: of characters where it has those."""
+    return F.coalesce(a["chars"], a["words"])
+
+
+def as_text(a: Column) -> Column:
+    """The anchors in order: the low 32 bits of their hashes in hexadecimal (positions follow from the text's units)."""
+    return F.array_join(F.transform(own_anchors(a), lambda x: F.hex(x["hash"].bitwiseAND(0xFFFFFFFF))), " ")
+
+
+def sketch(a: Column) -> Column:
+    """The SKETCH smallest distinct hashes of a fingerprint, ascending: a short form that nothing is computed from."""
+    return F.slice(F.sort_array(F.array_distinct(F.transform(own_anchors(a), lambda x: x["hash"]))), 1, SKETCH)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,11 +119,6 @@ def likeness(a: Column, b: Column) -> Column:
     return bind(bind(F.sort_array(F.concat(side(a, 0), side(b, 1))), first), shares)
 
 
-def as_text(s: Column) -> Column:
-    """The hashes' low 32 bits (the high ones of the smallest hashes are alike)."""
-    return F.array_join(F.transform(s, lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(0xFFFFFFFF)), 8, "0"))), "")
-
-
 def bucket_of(key: Column, bounds: list[int]) -> Column:
     """How many of the sorted ``bounds`` are at most ``key``, looked up in two steps of about the square root each."""
     if not bounds:
@@ -126,49 +131,58 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.when(upto == 0, 0).otherwise((upto - 1) * step + F.size(F.filter(part, lambda b: b <= key)))
 
 
-def with_next(rows: DataFrame, id_col: str, tie: str, carried: list[str], derive: dict[str, Column]) -> DataFrame:
-    """Adds next_<c> for each carried column: from the next row in ascending order, for the last row from the first.
+def with_next(rows: DataFrame, id_col: str, tie: str, derive: dict[str, Column]) -> DataFrame:
+    """Adds next_<tie> and, of the columns that ``derive`` computes, next_<c>: from the next row in ascending order, for the
+    last row from the first.
 
-    Rows are dealt to ranges of ids (quantiles, about RANGE_ROWS rows each, MAX_RANGES at most), ``lead`` looks inside a
-    range, and a range's last row takes the first row of the next range, of which there is one per range. ``derive``
-    gives carried columns that are computed from the others.
+    Rows are dealt to ranges of ids (quantiles, MAX_RANGES at most, cut into even steps so that about RANGE_ROWS rows fall
+    into each), ``lead`` looks inside a range, and a range ends with a copy of the first row of the next one, of which
+    there is one per range. So texts are shuffled once, and what is derived from a row is computed once.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     keyed = rows.withColumn("__key", key)
-    n = min(MAX_RANGES, max(1, rows.count() // RANGE_ROWS))
+    ranges = max(1, rows.count() // RANGE_ROWS)
+    n = min(MAX_RANGES, ranges)
     bounds = keyed.approxQuantile("__key", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    keyed = keyed.withColumn("__bucket", bucket_of(F.col("__key"), sorted({int(b) for b in bounds})))
-    heads = keyed.groupBy("__bucket").agg(F.min("__key").alias("__key"))
-    heads = materialise(keyed.join(broadcast_if_small(materialise(heads), MAX_RANGES), ["__bucket", "__key"]).groupBy("__bucket").agg(F.min(tie).alias(tie)))
-    order = Window.orderBy("__bucket")  # one row per range
-    ring = heads.select(F.col("__bucket").alias("__at"), F.col(tie), F.lag("__bucket").over(order).alias("__of"))
-    top = heads.agg(F.max("__bucket")).first()[0]
-    ring = ring.withColumn("__of", F.coalesce("__of", F.lit(top))).drop("__at").withColumns(derive)
-    ring = ring.select("__of", *[F.col(c).alias(f"__head_{c}") for c in carried])
-
-    inside = Window.partitionBy("__bucket").orderBy("__key", tie)
-    led = keyed.withColumns(derive)
-    led = led.withColumns({**{f"next_{c}": F.lead(c).over(inside) for c in carried}, "__end": F.lead("__key").over(inside).isNull()})
-    plain = led.filter("not __end")
-    ends = led.filter("__end").join(ring, F.col("__bucket") == F.col("__of"), "left")
-    ends = ends.withColumns({f"next_{c}": F.col(f"__head_{c}") for c in carried}).select(plain.columns)
-    return plain.unionByName(ends).drop("__bucket", "__key", "__end")
+    bounds = sorted({int(b) for b in bounds})
+    steps = -(-ranges // MAX_RANGES)
+    bucket = bucket_of(F.col("__key"), bounds).cast("long")
+    if steps > 1:
+        edges = F.array(*[F.lit(b) for b in [-(1 << 63), *bounds, (1 << 63) - 1]])
+        low, high = F.get(edges, bucket.cast("int")).cast("double"), F.get(edges, bucket.cast("int") + 1).cast("double")
+        step = F.floor((F.col("__key").cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * steps)
+        bucket = bucket * steps + F.greatest(F.lit(0), F.least(step, F.lit(steps - 1)))
+    keyed = keyed.withColumn("__bucket", bucket).withColumn("__copy", F.lit(False))
+    heads = materialise(keyed.groupBy("__bucket").agg(F.min("__key").alias("__key")))
+    heads = keyed.join(broadcast_if_small(heads, HEADS), ["__bucket", "__key"]).groupBy("__bucket", "__key").agg(F.min(tie).alias(tie))
+    heads = materialise(heads)
+    order = Window.orderBy("__bucket")  # two numbers per range
+    ring = heads.select(F.col("__bucket").alias("__at"), F.lag("__bucket").over(order).alias("__of"))
+    last = F.lit(heads.agg(F.max("__bucket")).first()[0])
+    ring = heads.join(ring, F.col("__bucket") == F.col("__at")).select(F.col(tie), F.coalesce("__of", last).alias("__bucket"))
+    copies = ring.withColumns({"__key": F.lit((1 << 63) - 1), "__copy": F.lit(True)})
+
+    inside = Window.partitionBy("__bucket").orderBy("__copy", "__key", tie)
+    led = keyed.unionByName(copies, allowMissingColumns=True).withColumn(f"next_{tie}", F.lead(tie).over(inside))
+    led = led.withColumns(derive)
+    led = led.withColumns({f"next_{c}": F.lead(c).over(inside) for c in derive})
+    return led.filter("not __copy").drop("__bucket", "__key", "__copy")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edit, whose second half gives way to the next document's first code points."""
-    rows = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = with_next(rows, id_col, "text", ["text"], {})
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = with_next(rows, "id", "text", {"mine": fingerprint(F.col("text"))})
     half = F.expr("cast(length(text) div 2 as int)")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, length(text) - cast(length(text) div 2 as int))"), F.substring("next_text", F.lit(1), half)))
     rows = rows.select(
-        id_col, F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"), fingerprint(F.col("next_text")).alias("next_fingerprint"),
+        "id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "mine", "next_mine", fingerprint(F.col("edited")).alias("other")
     )
-    rows = rows.withColumns({x: likeness(F.col("fingerprint"), F.col(f"{x}_fingerprint")) for x in ("edited", "next")})
+    rows = rows.withColumns({"edited": likeness(F.col("mine"), F.col("other")), "next": likeness(F.col("mine"), F.col("next_mine"))})
     return rows.select(
-        id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        as_text(sketch(F.col("fingerprint.words"))).alias("sketch"), as_text(sketch(F.col("edited_fingerprint.words"))).alias("edited_sketch"),
+        F.col("id").alias(id_col), "n_chars", "edited_sha256",
+        as_text(F.col("mine")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
+        sketch(F.col("mine")).alias("sketch"), sketch(F.col("other")).alias("edited_sketch"),
         F.col("edited.near").alias("near_edited"), F.col("next.near").alias("near_next"),
         F.col("edited.aligned").alias("aligned_edited"), F.col("next.aligned").alias("aligned_next"),
     )

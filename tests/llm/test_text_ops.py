@@ -6,7 +6,7 @@ import os
 import random
 import re
 import struct
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, namedtuple
 
 import duckdb
 import pytest
@@ -210,16 +210,19 @@ def test_mix_meets_its_quota(spark):
     assert mixing.mix(df.limit(0), mixing.repeats_within(4.0)).count() == 0
 
 
-def spark_hash(seed, *values):
+def spark_hash(*values):
     """xxhash64 of the engine: each value's hash is the next one's seed; nulls change nothing."""
     h = 42
-    for v in (seed, *values):
+    for v in values:
         if v is not None:
             raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, Int) else "<q", v)
             h = xxhash.xxh64_intdigest(raw, seed=h)
     return h - (1 << 64) if h >> 63 else h
 
 
+Anchor = namedtuple("Anchor", "at hash")
+
+
 class Int(int):
     """A 32-bit integer column's value."""
 
@@ -357,13 +360,45 @@ def test_fingerprints_find_a_passage_in_long_texts(spark):
     out = {r.doc_id: r for r in fingerprint.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     order = sorted(out)
     for i, after in zip(order, order[1:] + order[:1]):
-        assert (out[i].near_next, out[i].aligned_next) == pytest.approx(likeness_of(out[i].fingerprint.words, out[after].fingerprint.words))
-        assert (out[i].near_edited, out[i].aligned_edited) == pytest.approx(likeness_of(out[i].fingerprint.words, out[i].edited_fingerprint.words))
         if after < 16 and i < 16:
-            assert len(out[i].fingerprint.words) > 2000 and 0 < out[i].aligned_next <= out[i].near_next
+            assert len(out[i].fingerprint.split(" ")) > 2000 and 0 < out[i].aligned_next <= out[i].near_next
             assert out[i].aligned_edited > 0.2
 
 
+def plain_anchors(text, units):
+    h = [spark_hash(u) for u in units]
+    k = fingerprint.K
+    found = [(i, spark_hash(*h[i : i + k])) for i in range(len(h) - k + 1) if min(h[i], h[i + k - 1]) <= min(h[i + 1 : i + k - 1])]
+    return found or [(0, spark_hash(text))]
+
+
+def plain_fingerprint(text):
+    wide = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF"
+    units = []
+    for run in re.findall(f"[{wide}]|[^{wide}\x20\x09-\x0D]+", text):
+        units += [run] if len(run) <= fingerprint.LONG else list(run)
+    return plain_anchors(text, units), plain_anchors(text, list(text)) if len(units) < fingerprint.FEW else None
+
+
+def test_fingerprints_by_brute_force(spark):
+    rnd = random.Random(12)
+    pool = ["alpha", "be", "c", "\u65e5\u672c", "\u0e01\u0e02", "x" * 33, "y" * 32, "\U0001F642", "d\u00e9", "\n", "\t", "z9"]
+    texts = [" ".join(rnd.choice(pool) + rnd.choice(["", str(rnd.randrange(30))]) for _ in range(rnd.choice([0, 1, 3, 5, 15, 23, 24, 25, 40, 200]))) for _ in range(60)]
+    rows = list(enumerate(texts + ["", "a", " ", texts[3], "long " * 30_000]))
+    df = spark.createDataFrame([(i, t, 1, "q") for i, t in rows], "doc_id long, text string, id int, mine string")
+    out = {r.doc_id: r for r in fingerprint.fingerprint_edits(df).collect()}
+    as_text = lambda f: " ".join(format(h & 0xFFFFFFFF, "X") for _, h in f[1] or f[0])
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        mine, other, following = map(plain_fingerprint, (text, edited, after))
+        assert (out[i].fingerprint, out[i].edited_fingerprint) == (as_text(mine), as_text(other))
+        assert out[i].sketch == sorted({h for _, h in mine[1] or mine[0]})[: fingerprint.SKETCH]
+        for b, got in ((other, (out[i].near_edited, out[i].aligned_edited)), (following, (out[i].near_next, out[i].aligned_next))):
+            kind = 1 if mine[1] and b[1] else 0
+            assert got == pytest.approx(likeness_of([Anchor(*x) for x in mine[kind]], [Anchor(*x) for x in b[kind]]))
+
+
 def test_fingerprints_of_any_length_are_cut_alike(spark):
     rnd = random.Random(6)
     text = [f"w{rnd.randrange(10**6)}" for _ in range(27)]
@@ -379,13 +414,16 @@ def test_fingerprints_of_any_length_are_cut_alike(spark):
     assert out[0] > 0.5 and out[1] > 0.25 and out[2] > 0.8 and out[3] > 0.4 and out[4] > 0.2 and out[5] > 0.2
 
 
-def test_next_row_across_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 2, 4096])
+def test_next_row_across_ranges(spark, monkeypatch, most):
     monkeypatch.setattr(fingerprint, "RANGE_ROWS", 3)
     ids = [5, 1, 9, 200, 7, 1_000_000, 3, 3, 40, 41, 42, 43]
+    monkeypatch.setattr(fingerprint, "MAX_RANGES", most)
     df = spark.createDataFrame([(i, f"t{n:02}") for n, i in enumerate(ids)], "id long, text string")
-    got = {(r.id, r.text): r.next_text for r in fingerprint.with_next(df, "id", "text", ["text"], {}).collect()}
+    led = fingerprint.with_next(df, "id", "text", {"twice": F.concat("text", "text")})
+    got = {(r.id, r.text): (r.next_text, r.next_twice) for r in led.collect()}
     order = sorted((i, f"t{n:02}") for n, i in enumerate(ids))
-    assert got == {a: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    assert got == {a: (b[1], b[1] * 2) for a, b in zip(order, order[1:] + order[:1])}
 
 
 URLS = [
