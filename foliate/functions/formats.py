@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from .columns import bind
 from .text import strip
 
 # Accepted date patterns, in order.
@@ -20,12 +21,16 @@ DATE_SHAPES = (
 def check_date(value: Column) -> Column:
     bare = F.regexp_replace(strip(value), r"(?i)([0-9]+)(st|nd|rd|th)", "$1")
     bare = strip(F.regexp_replace(bare, r"\s+\d{1,2}:\d{2}.*$", ""))
-    bare = F.regexp_replace(bare, r"\s+", " ")
+    return bind(F.regexp_replace(bare, r"\s+", " "), _date)
+
+
+def _date(bare: Column) -> Column:
+    """The date by the first pattern that fits; each is tried where its shape fits only."""
     tries = []
     for pattern, shape in zip(DATE_PATTERNS, DATE_SHAPES):
         day = F.try_to_date(F.when(bare.rlike(shape), F.initcap(F.lower(bare)) if "MMM" in pattern else bare), pattern)
         if pattern.endswith("yy") and not pattern.endswith("yyyy"):  # two digits from 69 on are of the last century
-            day = F.when(F.year(day) >= 2069, F.add_months(day, -1200)).otherwise(day)
+            day = bind(day, lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d))
         tries.append(day)
     return F.coalesce(F.date_format(F.coalesce(*tries), "dd/MM/yyyy"), F.lit(""))
 
