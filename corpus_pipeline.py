@@ -78,8 +78,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids (little-endian unsigned 32-bit integers) and the text decoded from them, of every occurrence."""
     ensure_worker_imports(spark)
-    ids = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path()).drop("text")
-    return bpe.decode(ids, tokenizer_path())
+    done = bpe.encode(docs.select("doc_id", "source", "text"), tokenizer_path(), decoded="decoded")
+    return done.select("doc_id", "source", "n_tokens", "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [

@@ -233,9 +233,13 @@ def batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]
         yield first, texts
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens and ids (little-endian unsigned 32-bit integers, as binary) in place of equal names."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_tokens", "ids")])
+def encode(docs: DataFrame, path: str, text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """``docs`` with n_tokens and ids (little-endian unsigned 32-bit integers, as binary) in place of equal names.
+
+    ``decoded``: a column for the text that the ids decode to, made by the same worker (``decode`` would start others).
+    """
+    more = ["n_tokens", "ids", *([decoded] if decoded else [])]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {m.lower() for m in more}])
     at = docs.columns.index(text_col)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +248,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
             for first, texts in batches(batch, at):
                 ids = bpe.encode_batch(texts)
                 rows = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    [*rows.schema.names, "n_tokens", "ids"],
-                )
+                made = [pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    made.append(pa.array([bpe.decode(np.frombuffer(i, "<u4")) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *made], [*rows.schema.names, *more])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, n_tokens long, ids binary")
+    return docs.mapInArrow(run, f"{fields}, n_tokens long, ids binary" + (f", `{decoded}` string" if decoded else ""))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

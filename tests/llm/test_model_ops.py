@@ -79,6 +79,8 @@ def test_bpe_frames(spark, library):
     back = bpe.decode(bpe.encode(df.withColumn("TEXT2", F.lit("x")), PATH).withColumnRenamed("text", "old"), PATH)
     assert back.columns == ["doc_id", "old", "TEXT2", "n_tokens", "ids", "text"] and all(r.text == (r.old or "") for r in back.collect())
     assert bpe.decode(spark.createDataFrame([(1, None)], "i int, ids binary"), PATH).first().text is None
+    both = bpe.encode(df, PATH, decoded="again")
+    assert both.columns == ["doc_id", "text", "n_tokens", "ids", "again"] and all(r.again == (r.text or "") for r in both.collect())
 
 
 @pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "Unigram"}}, {"added_tokens": [{"content": "<x>", "id": 0, "lstrip": True}]}])
