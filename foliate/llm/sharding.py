@@ -22,14 +22,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliate.runtime import materialise
+from foliate.runtime import broadcast_if_small, materialise
 
 from .copies import dealt, whole_row
 from .skew import meet
 
 BITS = 60
 STEP = 20  # depths that one round looks at
-CELLS = 1 << 20  # rows of a table of cells up to which it is broadcast (about 40 MB): all of a first round
+CELLS = 1 << 20  # rows of a table of leaves or cells up to which it is broadcast (about 40 MB)
 
 
 def bits(digest: Column) -> Column:
@@ -41,12 +41,12 @@ def prefix(code: Column, depth: int) -> Column:
     return F.shiftright(code, BITS - depth)
 
 
-def leaves(sized: DataFrame, limit: int, group: list[str]) -> list[tuple[int, DataFrame, DataFrame | None]]:
-    """sized: group..., code, n -> rounds of (bits, cells, rest): group..., cell -> depth, prefix, bytes, rows.
+def leaves(sized: DataFrame, limit: int, group: list[str]) -> list[tuple[int, DataFrame, int, DataFrame | None]]:
+    """sized: group..., code, n -> rounds of (bits, cells, all bits, rest): group..., cell -> depth, prefix, bytes, rows.
 
-    A round's cells are the codes' first ``bits`` bits; ``rest`` are those whose bucket still doesn't fit (none in the
-    last round). A cell's leaf is the smallest depth at which its bucket fits ``limit``, so only oversized buckets have
-    split; what doesn't fit at all 60 bits comes out at depth 60 and is over the limit.
+    A round's cells are the codes' first ``bits`` bits, and ``rest`` those cells (of all bits of the round) whose bucket still
+    doesn't fit (none in the last round). A cell's leaf is the smallest depth at which its bucket fits ``limit``, so only
+    oversized buckets have split; what doesn't fit at all 60 bits comes out at depth 60 and is over the limit.
     """
     rounds, going, low = [], sized, 0
     while True:
@@ -54,14 +54,22 @@ def leaves(sized: DataFrame, limit: int, group: list[str]) -> list[tuple[int, Da
         cells = materialise(going.groupBy(*group, prefix(F.col("code"), high).alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")))
         levels = cells.select(*group, "n", "cell", "rows", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
         levels = levels.withColumn("prefix", F.expr(f"shiftright(cell, {high} - depth)"))
-        sums = levels.groupBy(*group, "depth", "prefix").agg(F.sum("n").alias("bytes"))
+        sums = materialise(levels.groupBy(*group, "depth", "prefix").agg(F.sum("n").alias("bytes")))
+        # a leaf fits and its parent doesn't (the root of the first round has none)
         fits = sums.filter((F.col("bytes") <= limit) | (F.col("depth") == BITS))
-        found = levels.join(fits, [*group, "depth", "prefix"]).groupBy(*group, "cell", "rows").agg(F.min(F.struct("depth", "prefix", "bytes")).alias("leaf"))
-        found = materialise(found.select(*group, "cell", "leaf.*", "rows"))
-        rest = materialise(cells.join(found, [*group, "cell"], "left_anti").select(*group, "cell", "rows"))
-        if high == BITS or rest.isEmpty():
-            return [*rounds, (high, found, None)]
-        rounds.append((high, found, rest))
+        over = sums.filter(F.col("bytes") > limit).select(*group, (F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above_it"))
+        leaf = fits.withColumn("above_it", F.expr("shiftright(prefix, 1)")).join(over, [*group, "depth", "above_it"], "left_semi").drop("above_it")
+        leaf = materialise(leaf.unionByName(fits.filter("depth = 0")) if low == 0 else leaf)
+        # cells are cut to the bits of the deepest leaf: hashed keys spread evenly, so there are few times as many as leaves
+        deepest = leaf.agg(F.coalesce(F.max("depth"), F.lit(low))).first()[0]
+        found = levels.drop("n").join(broadcast_if_small(leaf, CELLS), [*group, "depth", "prefix"])
+        found = found.groupBy(*group, F.shiftright("cell", high - deepest).alias("cell"), "depth", "prefix", "bytes").agg(F.sum("rows").alias("rows"))
+        found = materialise(found)
+        large = sums.filter((F.col("depth") == high) & (F.col("bytes") > limit)).select(*group, F.col("prefix").alias("cell"))
+        if high == BITS or large.isEmpty():
+            return [*rounds, (deepest, found, high, None)]
+        rest = materialise(cells.join(large, [*group, "cell"], "left_semi").select(*group, "cell", "rows"))
+        rounds.append((deepest, found, high, rest))
         going = meet(going.withColumn("cell", prefix(F.col("code"), high)), rest, [*group, "cell"], "rows", CELLS).drop("cell")
         low = high
 
@@ -69,11 +77,10 @@ def leaves(sized: DataFrame, limit: int, group: list[str]) -> list[tuple[int, Da
 def place(rows: DataFrame, rounds: list, group: list[str]) -> DataFrame:
     """Adds depth, prefix and bytes of the leaf of ``code``: one join on a row's cell per round."""
     out = []
-    for high, found, rest in rounds:
-        rows = rows.withColumn("cell", prefix(F.col("code"), high))
-        out.append(meet(rows, found, [*group, "cell"], "rows", CELLS).drop("cell"))
+    for deepest, found, high, rest in rounds:
+        out.append(meet(rows.withColumn("cell", prefix(F.col("code"), deepest)), found, [*group, "cell"], "rows", CELLS).drop("cell"))
         if rest is not None:
-            rows = meet(rows, rest, [*group, "cell"], "rows", CELLS).drop("cell")
+            rows = meet(rows.withColumn("cell", prefix(F.col("code"), high)), rest, [*group, "cell"], "rows", CELLS).drop("cell")
     return reduce(DataFrame.unionByName, out)
 
 
