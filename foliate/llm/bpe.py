@@ -182,11 +182,17 @@ class SpeculativeBpe:
             while end < len(texts) and (end == start or chars + len(texts[end]) <= BATCH_CHARS):
                 chars += len(texts[end])
                 end += 1
-            lists = []
+            lists, marked = [], set()
             for text in texts[start:end]:
-                parts = [p for p in self.split.split(text) if p] if self.split and self.split.search(text) else [text]
-                lists.append([w for p in parts for w in ([p] if p in self.special else self.pattern.findall(p))])
-            seen = {w for words in lists for w in words} - self.special.keys()
+                if self.split and self.split.search(text):
+                    marked.add(len(lists))
+                    parts = filter(None, self.split.split(text))
+                    lists.append([w for p in parts for w in ([p] if p in self.special else self.pattern.findall(p))])
+                else:
+                    lists.append(self.pattern.findall(text))
+            seen = set().union(*lists)
+            if marked:
+                seen -= self.special.keys()
             new = seen - self.cache.keys()
             chars = sum(map(len, new))
             if len(self.cache) + len(new) > CACHE_WORDS or self.cached_chars + chars > CACHE_CHARS:
@@ -196,7 +202,8 @@ class SpeculativeBpe:
             self.cached_chars += chars
             self.learn(new)
             known, marks = self.cache, {s: np.array([i], "<u4").tobytes() for s, i in self.special.items()}
-            out += [b"".join([marks.get(w) or known[w] for w in words]) for words in lists]
+            for i, words in enumerate(lists):
+                out.append(b"".join([marks.get(w) or known[w] for w in words] if i in marked else map(known.__getitem__, words)))
             start = end
         return out
 
