@@ -14,17 +14,34 @@ def blur(image: np.ndarray) -> np.ndarray:
     kernel = np.exp(-(np.arange(-half, half + 1) ** 2) / (2 * SIGMA**2))
     kernel /= kernel.sum()
     for axis in (0, 1):
-        pad = [(half, half) if a == axis else (0, 0) for a in (0, 1)]
-        windows = np.lib.stride_tricks.sliding_window_view(np.pad(image, pad, mode="reflect"), SIZE, axis)
-        image = windows @ kernel
+        n = image.shape[axis]
+        wide = np.pad(image, [(half, half) if a == axis else (0, 0) for a in (0, 1)], mode="reflect")
+        shifted = [wide[i : i + n] if axis == 0 else wide[:, i : i + n] for i in range(SIZE)]
+        image, pair = shifted[half] * kernel[half], np.empty_like(image, np.float64)
+        for i in range(half):  # the kernel is symmetric
+            np.add(shifted[i], shifted[SIZE - 1 - i], out=pair)
+            pair *= kernel[i]
+            image += pair
     return image
 
 
+def moments(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A frame as floats, its local means and variances."""
+    a = a.astype(np.float64)
+    mean = blur(a)
+    return a, mean, blur(a * a) - mean * mean
+
+
+def ssim_of(one: tuple, two: tuple) -> float:
+    """Similarity of two frames' ``moments``, which a frame shares with both its neighbours."""
+    (a, ma, va), (b, mb, vb) = one, two
+    both = ma * mb
+    cov = blur(a * b) - both
+    return float(((2 * both + C1) * (2 * cov + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))).mean())
+
+
 def ssim(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    ma, mb = blur(a), blur(b)
-    va, vb, cov = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
-    return float(((2 * ma * mb + C1) * (2 * cov + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))).mean())
+    return ssim_of(moments(a), moments(b))
 
 
 def resize(image: np.ndarray, side: int) -> np.ndarray:

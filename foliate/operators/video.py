@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from foliate.functions.frames import resize, ssim
+from foliate.functions.frames import moments, resize, ssim_of
 from foliate.functions.similarity import ratio_of
 from foliate.functions.text import strip
 
@@ -32,10 +32,14 @@ def frame_similarity(frames: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["video_id", "t", "pixels"])
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square = lambda p: np.frombuffer(p, np.uint8).reshape(FRAME_SIDE, FRAME_SIDE)
+        last, known = None, None  # the frame before is mostly the next row's: its moments are kept
+        of = lambda p: moments(np.frombuffer(p, np.uint8).reshape(FRAME_SIDE, FRAME_SIDE))
         for batch in stream:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            scores = [None if b is None else ssim(square(b), square(a)) for a, b in pairs]
+            scores = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                one = None if b is None else known if b == last else of(b)
+                last, known = a, of(a)
+                scores.append(None if one is None else ssim_of(one, known))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["video_id", "t", "ssim"])
 
     small = frames.select("video_id", "t", "height", "width", "pixels").mapInArrow(scale, "video_id long, t long, pixels binary")
