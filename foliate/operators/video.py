@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from foliate.functions.frames import moments, resize, ssim_of
+from foliate.functions.frames import resize, successive
 from foliate.functions.similarity import ratio_of
 from foliate.functions.text import strip
 
@@ -21,30 +21,38 @@ GATED = "video_id long, t long, ssim double, text string, zone string, kept bool
 def frame_similarity(frames: DataFrame) -> DataFrame:
     """video_id, t, height, width, pixels (grey bytes) -> video_id, t, ssim to the previous sample (null for the first).
 
-    Frames are scaled to FRAME_SIDE before they travel, so a row is 64 KB whatever the film's size. Cropping to the
-    slide's edges needs a decoder's library and belongs to the provider.
+    Frames of more pixels than a square of FRAME_SIDE are scaled to it before they travel, smaller ones when they are compared,
+    so a row is 64 KB at most whatever the film's size. A film is streamed in order, each frame once. Cropping to the slide's
+    edges needs a decoder's library and belongs to the provider.
     """
 
-    def scale(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shrink(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            shapes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            small = [resize(np.frombuffer(p, np.uint8).reshape(h, w), FRAME_SIDE).tobytes() for h, w, p in shapes]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(small, pa.binary())], ["video_id", "t", "pixels"])
+            shapes = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            if any(h * w > FRAME_SIDE**2 for h, w in shapes):
+                small = []
+                for i, (h, w) in enumerate(shapes):
+                    pixels = batch.column(4)[i].as_py()
+                    if h * w > FRAME_SIDE**2:
+                        shapes[i], pixels = (FRAME_SIDE, FRAME_SIDE), resize(np.frombuffer(pixels, np.uint8).reshape(h, w), FRAME_SIDE).tobytes()
+                    small.append(pixels)
+                sides = [pa.array(side, pa.int32()) for side in zip(*shapes)]
+                batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *sides, pa.array(small, pa.binary())], batch.schema.names)
+            yield batch
 
     def compare(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None  # the frame before is mostly the next row's: its moments are kept
-        of = lambda p: moments(np.frombuffer(p, np.uint8).reshape(FRAME_SIDE, FRAME_SIDE))
+        film, step = (), successive(FRAME_SIDE)
         for batch in stream:
             scores = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one = None if b is None else known if b == last else of(b)
-                last, known = a, of(a)
-                scores.append(None if one is None else ssim_of(one, known))
+            for v, *frame in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                scores.append(step(*frame, v != film))
+                film = v
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["video_id", "t", "ssim"])
 
-    small = frames.select("video_id", "t", "height", "width", "pixels").mapInArrow(scale, "video_id long, t long, pixels binary")
-    before = F.lag("pixels").over(Window.partitionBy("video_id").orderBy("t"))
-    return small.withColumn("before", before).mapInArrow(compare, "video_id long, t long, ssim double")
+    typed = frames.select("video_id", "t", F.col("height").cast("int"), F.col("width").cast("int"), "pixels")
+    small = typed.mapInArrow(shrink, "video_id long, t long, height int, width int, pixels binary")
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as counted: pictures pack well, so few bytes may be much work
+    return small.repartition(parts, "video_id").sortWithinPartitions("video_id", "t").mapInArrow(compare, "video_id long, t long, ssim double")
 
 
 def sample_times(videos: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from foliate import config, runtime
 from foliate.__main__ import main
+from foliate.functions import frames as pictures
 from foliate.functions.frames import blur, ssim
 from foliate.operators import video
 from foliate.sinks import results
@@ -196,3 +197,58 @@ def test_branches_fail_alone():
     assert video.branch_errors("no frames", None) == {"frames": "no frames"} and video.branch_errors(None, "x", "frames") == {}
     with pytest.raises(RuntimeError, match="no frames"):
         video.branch_errors("no frames", None, "frames")
+
+
+def shuffled_bytes(df):
+    """What the shuffles of a collected DataFrame took."""
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            total += node.metrics().apply("dataSize").value()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_frames_travel_as_they_are_and_repeat(spark):
+    rnd = np.random.default_rng(2)
+    shown = [rnd.integers(0, 256, shape).astype(np.uint8) for shape in ((24, 32), (24, 32), (32, 24), (300, 310), (24, 32))]
+    shown.append(shown[0].reshape(32, 24))  # the bytes of another, in another shape
+    order = {1: [0, 1, 0, 0, 2, 5, 0, 5] * 25, 2: [3, 3, 1, 3, 4], None: [4, 2]}
+    rows = [(film, t, *shown[k].shape, bytearray(shown[k].tobytes())) for film, ks in order.items() for t, k in enumerate(ks)]
+    rnd.shuffle(rows)
+    df = video.frame_similarity(spark.createDataFrame(rows, "video_id long, t long, height int, width int, pixels binary"))
+    got = {(r.video_id, r.t): r.ssim for r in df.collect()}
+    scaled = [pictures.resize(x, video.FRAME_SIDE) for x in shown]
+    pair = {(i, j): ssim(scaled[i], scaled[j]) for i in range(6) for j in range(6)}
+    want = {(film, t): pair[ks[t - 1], k] if t else None for film, ks in order.items() for t, k in enumerate(ks)}
+    assert got == {k: w if w is None else pytest.approx(w, abs=1e-12) for k, w in want.items()}
+    assert 0 < shuffled_bytes(df) < 204 * 1200 + 3 * 70_000
+
+
+def test_pairs_of_frames_are_computed_once(monkeypatch):
+    calls = []
+    for name in ("moments", "ssim_of"):
+        monkeypatch.setattr(pictures, name, lambda *a, of=getattr(pictures, name), name=name: calls.append(name) or of(*a))
+    for name in ("_moments", "_scores"):
+        monkeypatch.setattr(pictures, name, {})
+    rnd = np.random.default_rng(3)
+    a, b, c = (rnd.integers(0, 256, (20, 30)).astype(np.uint8).tobytes() for _ in range(3))
+    step = pictures.successive(64)
+    got = [step(20, 30, p, first) for p, first in ((a, True), (b, False), (a, False), (a, False), (c, False), (b, True), (a, False))]
+    assert got[0] is None and got[5] is None and got[3] == 1.0 and got[1] == got[2] == got[6] != got[4]
+    assert (calls.count("moments"), calls.count("ssim_of")) == (3, 2)
+    for name, fresh in (("MOST_MOMENTS", 2), ("MOST_SCORES", 2), ("_moments", {}), ("_scores", {})):
+        monkeypatch.setattr(pictures, name, fresh)
+    films = [pictures.resize(rnd.integers(0, 256, (20, 30)), 64) for _ in range(9)]
+    step = pictures.successive(64)
+    scores = [step(64, 64, p.tobytes(), i == 0) for i, p in enumerate(films + films[::-1])]
+    assert scores[1:] == [pytest.approx(1.0 if x is y else ssim(x, y), abs=1e-12) for x, y in zip((films + films[::-1])[:-1], (films + films[::-1])[1:])]
+    assert len(pictures._scores) <= 2 and len(pictures._moments) <= 2
+    with pytest.raises(ValueError, match="7 bytes"):
+        step(2, 3, b"1234567", True)
